@@ -1,7 +1,12 @@
 """Registered queries: operators bound to the given tables, with their SQL."""
 
 from dosewise.bindings import (  # noqa: F401
+    adherence_queries,
+    aggregate_queries,
+    join_queries,
+
     row_queries,
+
 )
 from dosewise.bindings.registry import ORACLES, QUERIES
 

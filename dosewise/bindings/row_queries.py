@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dosewise.bindings.registry import query, rounded
+from dosewise.bindings.registry import query, rounded, tidy
 from dosewise.functions import date_to_int
 from dosewise.operators import aggregate as agg
 from dosewise.operators import derive, reshape
@@ -335,7 +335,7 @@ def delete_where(t, c):
 )
 def pivot_wide(t, c):
     units = (
-        derive.atc_levels(c.base).groupBy("p_id", "atc3").agg(F.round(F.sum("units"), 4).alias("u"))
+        derive.atc_levels(c.base).groupBy("p_id", "atc3").agg(tidy(F.sum("units"), 4).alias("u"))
     )
     return reshape.pivot_wide(units, "p_id", "atc3", "u", CODES.split(), "units_")
 
@@ -350,6 +350,6 @@ def transpose_stats(t, c):
     wide = t.rx.groupBy("prod").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("p_id").alias("patients"),
-        F.round(F.avg("units"), 6).alias("mean_units"),
+        tidy(F.avg("units")).alias("mean_units"),
     )
     return reshape.transpose_stats(wide, ["n", "patients", "mean_units"], ["prod"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.functions import at_most, known
@@ -83,13 +83,8 @@ DISTINCT_COUNTS = {
 }
 
 
-def patient_utilisation(rows: DataFrame, keys: Sequence[str] = ("p_id",)) -> DataFrame:
-    """Counts, distinct counts, means and spend per patient.
-
-    The exact distinct counts share one expanded aggregation: a first level by
-    (patient, value) spreads even a hot patient, the second only adds up.
-    """
-    return rows.groupBy(*keys).agg(
+def utilisation_columns() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("cnt_tx"),
         *[F.count_distinct(c).alias(n) for n, c in DISTINCT_COUNTS.items()],
         F.avg("rsp").alias("mean_price"),
@@ -98,7 +93,16 @@ def patient_utilisation(rows: DataFrame, keys: Sequence[str] = ("p_id",)) -> Dat
         F.avg("dci_vos").alias("mean_dcivos"),
         F.avg("units").alias("mean_units"),
         F.avg("capped_days_treatment").alias("persistence"),
-    )
+    ]
+
+
+def patient_utilisation(rows: DataFrame, keys: Sequence[str] = ("p_id",)) -> DataFrame:
+    """Counts, distinct counts, means and spend per patient.
+
+    The exact distinct counts share one expanded aggregation: a first level by
+    (patient, value) spreads even a hot patient, the second only adds up.
+    """
+    return rows.groupBy(*keys).agg(*utilisation_columns())
 
 
 def mean_doctor_gender(rows: DataFrame) -> DataFrame:
@@ -121,27 +125,33 @@ def dummy_rollup(rows: DataFrame, columns: Sequence[str], key: str = "p_id") ->
     )
 
 
+def level_columns(
+    column: str, prefix: str, levels: Sequence, where: Column | None = None, suffix: str = "_Max"
+) -> list[Column]:
+    """Aggregates that are 1 where a row of the group has the level."""
+    found = []
+    for v in levels:
+        hit = F.col(column) == v if where is None else where & (F.col(column) == v)
+        found.append(F.max(known(hit).cast("int")).alias(f"{prefix}{clean_name(v)}{suffix}"))
+    return found
+
+
 def level_rollup(rows: DataFrame, column: str, prefix: str, levels: Sequence, key: str = "p_id") -> DataFrame:
     """One-hot and roll-up in a single aggregate: 1 where the key has the level."""
-    return (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            *[
-                F.max(known(F.col(column) == v).cast("int")).alias(f"{prefix}{clean_name(v)}_Max")
-                for v in levels
-            ]
-        )
-    )
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*level_columns(column, prefix, levels))
 
 
-def pre_index_features(rows: DataFrame) -> DataFrame:
-    """Per patient: any use, cost and transactions of each therapy group."""
-    return rows.groupBy("p_id").agg(
+def feature_columns() -> list[Column]:
+    return [
         *[F.max(t).alias(f"pre_{s}") for t, s in COST_NAMES.items()],
         *[F.sum(f"{s}_cost").alias(f"pre_{s}_cost") for s in COST_NAMES.values()],
         *[F.sum(f"{s}_trx").alias(f"pre_{s}_trx") for s in COST_NAMES.values()],
-    )
+    ]
+
+
+def pre_index_features(rows: DataFrame) -> DataFrame:
+    """Per patient: any use, cost and transactions of each therapy group."""
+    return rows.groupBy("p_id").agg(*feature_columns())
 
 
 def class_prevalence(features: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -209,24 +219,27 @@ def physician_gender(rows: DataFrame) -> DataFrame:
     )
 
 
-def gender_resolve(rows: DataFrame) -> DataFrame:
+def gender_columns() -> list[Column]:
     """Patient gender dummies; 999 in both where a row has no gender."""
-    g = F.coalesce("p_gender", F.lit(UNKNOWN_GENDER))
-    top = rows.groupBy("p_id").agg(
-        *[F.max((g == v).cast("int")).alias(f"g{v}") for v in (0, 1, UNKNOWN_GENDER)]
-    )
-    lost = F.col(f"g{UNKNOWN_GENDER}") == 1
-    return top.select(
-        "p_id",
-        *[
-            F.when(lost, UNKNOWN_GENDER).otherwise(F.col(f"g{v}")).alias(f"pat_gender_{v}_Max")
-            for v in (0, 1)
-        ],
-    )
+    lost = F.max(F.col("p_gender").isNull())
+    return [
+        F.when(lost, UNKNOWN_GENDER)
+        .otherwise(F.max(known(F.col("p_gender") == v).cast("int")))
+        .alias(f"pat_gender_{v}_Max")
+        for v in (0, 1)
+    ]
+
+
+def gender_resolve(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("p_id").agg(*gender_columns())
+
+
+def at_index() -> Column:
+    return (F.col("trans_date") == F.col("index_date")) & (F.col("market") == 1)
 
 
 def index_fills(rows: DataFrame) -> DataFrame:
-    return rows.where((F.col("trans_date") == F.col("index_date")) & (F.col("market") == 1))
+    return rows.where(at_index())
 
 
 def specialty_at_index(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
