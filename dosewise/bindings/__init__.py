@@ -4,9 +4,10 @@ from dosewise.bindings import (  # noqa: F401
     adherence_queries,
     aggregate_queries,
     join_queries,
-
+    model_queries,
+    profile_queries,
     row_queries,
-
+    stats_queries,
 )
 from dosewise.bindings.registry import ORACLES, QUERIES
 

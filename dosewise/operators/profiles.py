@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -58,11 +58,24 @@ def long_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def text_counts(rows: DataFrame, columns: Sequence[str], sentinels: Sequence[str] = SENTINELS) -> DataFrame:
     """(variable, value, kind, n), kind being blank, sentinel or value."""
-    v = F.col("value")
     counts = long_values(rows, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn(
-        "kind",
-        F.when(~filled(v), "blank").when(one_of(F.lower(v), sentinels), "sentinel").otherwise("value"),
+    return counts.withColumn("kind", _kind(F.col("value"), sentinels))
+
+
+def _kind(v: Column, sentinels: Sequence[str]) -> Column:
+    return F.when(~filled(v), "blank").when(one_of(F.lower(v), sentinels), "sentinel").otherwise("value")
+
+
+def kind_counts(rows: DataFrame, columns: Sequence[str], sentinels: Sequence[str]) -> DataFrame:
+    """(variable, kind, key, n) where the text itself is not needed later: a long
+    text is counted under its SHA-256, so that it is not shuffled."""
+    v = F.col("value")
+    key = F.when(F.length(v) > 64, F.concat(F.lit("sha256 "), F.sha2(v, 256))).otherwise(v)
+    return (
+        long_values(rows, columns)
+        .select("variable", _kind(v, sentinels).alias("kind"), key.alias("key"))
+        .groupBy("variable", "kind", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -81,7 +94,7 @@ def _shares(total):
 
 def profile_char(rows: DataFrame, columns: Sequence[str], sentinels: Sequence[str] = SENTINELS) -> DataFrame:
     """Available, blank, sentinel and distinct values per text column."""
-    return text_counts(rows, columns, sentinels).groupBy("variable").agg(
+    return kind_counts(rows, columns, sentinels).groupBy("variable").agg(
         *_shares(F.sum("n")), F.count_if(F.col("kind") == "value").alias("distinct_values")
     )
 
@@ -166,7 +179,7 @@ def table_summary(rows: DataFrame, columns: Sequence[str] | None = None, sentine
     n_total = F.sum("n")
     parts = []
     if text:
-        t = text_counts(rows, text, sentinels).groupBy("variable").agg(
+        t = kind_counts(rows, text, sentinels).groupBy("variable").agg(
             *_shares(n_total), F.count_if(F.col("kind") == "value").alias("distinct_values")
         )
         parts.append(t.withColumns({"type": F.lit("Character"), "sentinel_list": F.lit(" , ".join(sentinels))}))
