@@ -108,71 +108,68 @@ def score_bucket_profile(
 
 
 def co_moments(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Centred cross products (i, j, s) of the complete rows, i <= j.
+    """Centred cross products (i, j, s, s_i, s_j) of the complete rows, i <= j.
 
-    Columns are centred by their means first, then every task adds up X'X of
-    its batches and hands on p x p numbers, whatever the number of rows.
+    Columns are centred by their means (p numbers, gathered first), then every
+    task adds up X'X of its batches and hands on p x p numbers, whatever the
+    number of rows. The squares of both columns ride along with each pair.
     """
     p = len(columns)
     full = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
-    means = full.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
-    centred = attach_scalars(full, means).select(
-        *[(F.col(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(columns)]
-    )
+    centre = np.array([np.nan if m is None else m for m in full.agg(*[F.avg(c) for c in columns]).first()])
     upper_i, upper_j = np.triu_indices(p)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((p, p)), False
         for b in batches:
             if b.num_rows:
-                x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)])
+                x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)]) - centre
                 total += x.T @ x
                 seen = True
         if seen:
+            square = np.diag(total)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(upper_i.astype("int32")),
                     pa.array(upper_j.astype("int32")),
                     pa.array(total[upper_i, upper_j]),
+                    pa.array(square[upper_i]),
+                    pa.array(square[upper_j]),
                 ],
-                names=["i", "j", "s"],
+                names=["i", "j", "s", "s_i", "s_j"],
             )
 
-    parts = centred.mapInArrow(partial, "i int, j int, s double")
-    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    parts = full.mapInArrow(partial, "i int, j int, s double, s_i double, s_j double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("s", "s_i", "s_j")])
+
+
+def _pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return co_moments(rows, columns).select(
+        "i", "j", F.try_divide("s", F.sqrt("s_i") * F.sqrt("s_j")).alias("corr")
+    )
 
 
 def corr_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix as (var1, var2, corr), both triangles and the diagonal; a
     constant column has no correlation."""
-    m = co_moments(rows, columns)
-    diag = m.where(F.col("i") == F.col("j"))
     names = F.lit(list(columns))
-    upper = (
-        m.join(diag.select("i", F.col("s").alias("s_i")), "i")
-        .join(diag.select("j", F.col("s").alias("s_j")), "j")
-        .select("i", "j", F.try_divide("s", F.sqrt(F.col("s_i")) * F.sqrt(F.col("s_j"))).alias("corr"))
-    )
-    both = upper.select(
-        "corr",
-        F.explode(
-            F.array_distinct(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-                                     F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
-        ).alias("p"),
-    )
+    i, j = F.col("i"), F.col("j")
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    both = _pairs(rows, columns).select("corr", F.explode(F.array_distinct(F.array(pair(i, j), pair(j, i)))).alias("p"))
     return both.select(names[F.col("p.a")].alias("var1"), names[F.col("p.b")].alias("var2"), "corr")
 
 
 def high_corr_pairs(rows: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """Pairs in column order with |r| above a threshold; ``drop_second`` marks
     pairs whose second member repeats the first."""
-    order = {c: i for i, c in enumerate(columns)}
-    pos = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
+    names = F.lit(list(columns))
     r = F.abs("corr")
-    return (
-        corr_matrix(rows, columns)
-        .where((pos[F.col("var1")] < pos[F.col("var2")]) & (r > threshold))
-        .withColumn("drop_second", known(r >= 1 - 1e-9).cast("int"))
+    found = _pairs(rows, columns).where((F.col("i") < F.col("j")) & (r > threshold))
+    return found.select(
+        names[F.col("i")].alias("var1"),
+        names[F.col("j")].alias("var2"),
+        "corr",
+        known(r >= 1 - 1e-9).cast("int").alias("drop_second"),
     )
 
 
