@@ -12,7 +12,8 @@ def parse_date_int(c: Column) -> Column:
 
 
 def date_to_int(c: Column) -> Column:
-    return F.date_format(c, "yyyyMMdd").cast("int")
+    """Date to integer ``yyyymmdd``, by arithmetic rather than by formatting."""
+    return F.year(c) * 10000 + F.month(c) * 100 + F.day(c)
 
 
 def day_number(c: Column) -> Column:

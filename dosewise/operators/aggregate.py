@@ -83,10 +83,13 @@ DISTINCT_COUNTS = {
 }
 
 
-def utilisation_columns() -> list[Column]:
+def distinct_columns() -> list[Column]:
+    return [F.count_distinct(c).alias(n) for n, c in DISTINCT_COUNTS.items()]
+
+
+def total_columns() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("cnt_tx"),
-        *[F.count_distinct(c).alias(n) for n, c in DISTINCT_COUNTS.items()],
         F.avg("rsp").alias("mean_price"),
         F.sum(F.col("rsp") * F.col("units")).alias("sum_spending"),
         (F.avg("transactiontype") - 1).alias("mean_tx_type"),
@@ -102,7 +105,7 @@ def patient_utilisation(rows: DataFrame, keys: Sequence[str] = ("p_id",)) -> Dat
     The exact distinct counts share one expanded aggregation: a first level by
     (patient, value) spreads even a hot patient, the second only adds up.
     """
-    return rows.groupBy(*keys).agg(*utilisation_columns())
+    return rows.groupBy(*keys).agg(*total_columns(), *distinct_columns())
 
 
 def mean_doctor_gender(rows: DataFrame) -> DataFrame:

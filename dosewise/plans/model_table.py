@@ -10,7 +10,7 @@ from dosewise.operators.adherence import second_script_compliance
 from dosewise.operators.derive import persistence_labels, pre_index_window
 from dosewise.operators.joins import enrich_left, multi_left
 from dosewise.operators.reshape import intersect_ids, pivot_wide
-from dosewise.plans.pdc import PdcSettings, build_pdc
+from dosewise.plans.pdc import PdcSettings, covered, fills_with_duration
 from dosewise.sources import persist_stage
 from dosewise.sources.claims import Tables
 
@@ -19,7 +19,11 @@ def model_table(rows: DataFrame, tables: Tables, add_on: str, settings: PdcSetti
     """One row per patient with non-market history, an index supply between 80
     and 180 days and a second fill. ``rows`` are the indexed cohort claims, which
     are written once because six steps read them."""
-    rows = persist_stage(rows)
+    rows = persist_stage(
+        rows.select(
+            "p_id", "trans_date", "index_date", "market", "prod", "fcc", "atc", "mol1", "units", "pack_size", "shortcode"
+        )
+    )
     supply = agg.index_molecule(agg.days_supply_on_index(rows), add_on)
     compliance = second_script_compliance(supply, agg.second_fill(rows))
     history = pre_index_window(rows, settings.window_days)
@@ -31,8 +35,9 @@ def model_table(rows: DataFrame, tables: Tables, add_on: str, settings: PdcSetti
     )
     patients = intersect_ids(main, compliance.select("p_id").distinct())
     details = history.select("p_id", "shortcode").join(tables.doc_details, "shortcode", "left")
-    by_class = pivot_wide(build_pdc(rows, settings), "p_id", "atc3", "pdc", settings.codes.split(), "pro_days_")
-    overall = build_pdc(rows, settings, "ALL").select("p_id", F.col("pdc").alias("pro_days_all"))
+    fills = persist_stage(fills_with_duration(rows, settings))
+    by_class = pivot_wide(covered(fills, settings), "p_id", "atc3", "pdc", settings.codes.split(), "pro_days_")
+    overall = covered(fills, settings, "ALL").select("p_id", F.col("pdc").alias("pro_days_all"))
     wide = multi_left(
         patients,
         [

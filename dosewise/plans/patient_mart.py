@@ -59,12 +59,14 @@ def patient_mart(
         therapy_flags(atc_levels(pre_index_window(rows, None).where(F.col("market") == 0)), stems)
     )
     before = history.groupBy("p_id").agg(
-        *agg.utilisation_columns(),
+        *agg.total_columns(),
         *agg.feature_columns(),
         *[F.max(c).alias(f"{c}_Max") for c in ("oral_anti_platelet", *ATC_FLAGS)],
         *agg.level_columns("atc3", "atc3_", atc3),
         *agg.level_columns("doc_speciality", "spec", specialties),
     )
+    # apart, because exact distinct counts expand their input once per column
+    distinct = history.groupBy("p_id").agg(*agg.distinct_columns())
     overall = rows.groupBy("p_id").agg(
         F.min("index_date").alias("index_date"),
         *agg.gender_columns(),
@@ -76,7 +78,7 @@ def patient_mart(
     physician = agg.impute_graduation(agg.main_physician(rows), tables.doc_graduation)
     physician = match_merge_left(physician, agg.physician_gender(rows), "main_physician", "main_physician")
     pack = index_pack_lookup(rows, tables.product_dict).withColumnRenamed("mol1", "mol_start")
-    wide = multi_left(overall, [before, agg.mean_doctor_gender(history), agg.main_region(rows), physician, pack])
+    wide = multi_left(overall, [before, distinct, agg.mean_doctor_gender(history), agg.main_region(rows), physician, pack])
     demo = tables.sociodemo.withColumn("meyon", parse_number(F.col("meyon")))
     wide = match_merge_left(wide, demo, "main_region_pat", "brick")
     wide = match_merge_left(wide, tables.doc_sales, "main_physician", "shortcode")

@@ -17,7 +17,7 @@ from dosewise.operators.adherence import (
 from dosewise.operators.aggregate import rare_products
 from dosewise.operators.derive import atc_levels, pre_index_window
 from dosewise.operators.joins import anti_join, fallback_lookup
-from dosewise.sources import code_list_filter
+from dosewise.sources import code_list_filter, persist_stage
 
 
 @dataclass(frozen=True)
@@ -30,12 +30,16 @@ class PdcSettings:
 
 
 def durations(rows: DataFrame, s: PdcSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rare products, and capped median durations by pack and by product."""
-    fills = code_list_filter(atc_levels(rows), s.codes)
+    """Rare products, and capped median durations by pack and by product.
+
+    The distinct fills feed three steps and the medians (one row per pack or
+    product) two each, so they are written once.
+    """
+    fills = persist_stage(code_list_filter(atc_levels(rows), s.codes))
     rare = rare_products(fills, s.rare_limit)
     kept = anti_join(fills, rare, "prod")
-    pack = winsorize(median_gap_pack(kept), "median_duration")
-    product = winsorize(median_gap_product(kept, s.dedup_products), "median_duration")
+    pack = winsorize(persist_stage(median_gap_pack(kept)), "median_duration")
+    product = winsorize(persist_stage(median_gap_product(kept, s.dedup_products)), "median_duration")
     return rare, pack, product
 
 
@@ -46,13 +50,17 @@ def fills_with_duration(rows: DataFrame, s: PdcSettings) -> DataFrame:
     """
     rare, pack, product = durations(rows, s)
     before = pre_index_window(atc_levels(rows), s.window_days)
-    before = anti_join(before.where(F.col("atc3").isin(s.codes.split())), rare, "prod")
-    return fallback_lookup(before, pack, product)
+    before = before.where(F.col("atc3").isin(s.codes.split()))
+    before = before.select("p_id", "index_date", "trans_date", "prod", "fcc", "atc3", "units")
+    return fallback_lookup(anti_join(before, rare, "prod"), pack, product)
 
 
-def build_pdc(rows: DataFrame, settings: PdcSettings = PdcSettings(), all_classes: str | None = None) -> DataFrame:
+def covered(fills: DataFrame, settings: PdcSettings = PdcSettings(), all_classes: str | None = None) -> DataFrame:
     """PDC per (class, patient); ``all_classes`` names one label for all classes."""
-    fills = fills_with_duration(rows, settings)
     if all_classes is not None:
         fills = fills.withColumn("atc3", F.lit(all_classes))
     return proportion_days_covered(daily_duration(fills), settings.lookback_days)
+
+
+def build_pdc(rows: DataFrame, settings: PdcSettings = PdcSettings(), all_classes: str | None = None) -> DataFrame:
+    return covered(fills_with_duration(rows, settings), settings, all_classes)
