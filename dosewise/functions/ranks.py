@@ -57,7 +57,7 @@ def _bucket(value: str, by: str | None, edges: dict) -> Column:
         return F.when(start < 0, 0).otherwise(start + count_below(fine))
 
     if by is None:
-        return search(edges[None]) if edges[None] else F.lit(0)
+        return search(edges[None])
     bucket = F.lit(0)
     for group, cuts in edges.items():
         if group is not None and cuts:
@@ -68,26 +68,36 @@ def _bucket(value: str, by: str | None, edges: dict) -> Column:
 def cumulate(
     counts: DataFrame, value: str, by: str | None = None, edges: dict | None = None, n: str = "n"
 ) -> DataFrame:
-    """Add ``n_below`` (rows with a smaller value) and ``n_total`` to value counts."""
+    """Add ``n_below`` (rows with a smaller value) and ``n_total`` to value counts.
+
+    Without ``edges`` a group is ordered in one piece, which suits values that
+    are few by nature, such as whole or half days.
+    """
     keys = [by] if by else []
-    cut = counts.withColumn("_b", _bucket(value, by, edges) if edges else F.lit(0))
-    # at most (number of cut points + 1) rows per group reach this window
+    up_to_here = (Window.unboundedPreceding, -1)
     over_group = Window.partitionBy(*keys)
-    before = over_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    if not edges or not any(edges.values()):
+        below = F.sum(n).over(over_group.orderBy(value).rowsBetween(*up_to_here))
+        return counts.withColumns(
+            {"n_below": F.coalesce(below, F.lit(0)), "n_total": F.sum(n).over(over_group)}
+        )
+    cut = counts.withColumn("_b", _bucket(value, by, edges))
+    # at most (number of cut points + 1) rows per group reach this window
     totals = (
         cut.groupBy(*keys, "_b")
         .agg(F.sum(n).alias("_bn"))
         .select(
             *keys,
             "_b",
-            F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_offset"),
+            F.coalesce(F.sum("_bn").over(over_group.orderBy("_b").rowsBetween(*up_to_here)), F.lit(0)).alias("_offset"),
             F.sum("_bn").over(over_group).alias("n_total"),
         )
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(*up_to_here)
+    # the window has already placed the rows by the join keys, so only the totals move
     return (
         cut.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(F.broadcast(totals), [*keys, "_b"])
+        .join(totals, [*keys, "_b"])
         .withColumn("n_below", F.col("_offset") + F.col("_in"))
         .drop("_b", "_in", "_offset")
     )
@@ -139,7 +149,8 @@ def hash_row_number(df: DataFrame, by: Sequence[str], digest: str, tie: str, nam
     """Row number within ``by`` in (digest, tie) order, for a hexadecimal digest.
 
     The first three digits of a digest are uniform, so 4096 equal buckets carry
-    the ordering and only their sizes (4096 per group) are cumulated.
+    the ordering and only their sizes (4096 per group) are cumulated. The join
+    of the sizes reuses the placement of the rows by the window.
     """
     cut = df.withColumn("_b", F.substring(digest, 1, 3))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +168,7 @@ def hash_row_number(df: DataFrame, by: Sequence[str], digest: str, tie: str, nam
     inside = Window.partitionBy(*by, "_b").orderBy(digest, tie)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), [*by, "_b"])
+        .join(offsets, [*by, "_b"])
         .withColumn(name, F.col("_offset") + F.col("_rn"))
         .drop("_b", "_rn", "_offset")
     )
