@@ -8,6 +8,7 @@ from dosewise.bindings.aggregate_queries import GENDER_SQL
 from dosewise.bindings.registry import query, rounded
 from dosewise.operators import aggregate as agg
 from dosewise.operators import split, stats
+from dosewise.sources import persist_stage
 
 SEEDS = (101, 202, 303)
 X = [f"x{i}" for i in range(8)]
@@ -171,11 +172,10 @@ ANSWERS = ["c061", "c062", "c070"]
 def corr_with_target(t, c):
     """Pearson with the capped days, Spearman with six-month persistence."""
     means = agg.patient_mean_survey(c.base, t.doc_survey, ANSWERS).select(
-        # exact quotients on both sides would differ in the last digit, and rank ties with it
         F.col("capped_days_treatment").alias("days"),
         *ANSWERS,
     )
-    means = means.withColumn("y", (F.col("days") / 30 >= 6).cast("int"))
+    means = persist_stage(means.withColumn("y", (F.col("days") / 30 >= 6).cast("int")))
     pearson = stats.corr_with_target(means, "days", ANSWERS)
     return rounded(
         pearson.join(stats.spearman_with_target(means, "y", ANSWERS), "variable"), ["pearson", "spearman"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,15 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bucket_edges(df: DataFrame, value: str, by: str | None = None, buckets: int | None = None) -> dict:
+@dataclass(frozen=True)
+class Cuts:
+    """Cut points per group, and the rows whose values they cut."""
+
+    points: dict
+    rows: DataFrame
+
+
+def bucket_edges(df: DataFrame, value: str, by: str | None = None, buckets: int | None = None) -> Cuts:
     """Approximate quantile cut points per group, gathered as plain lists.
 
     The sketches are merged map-side, and ``by`` is a column with few values
@@ -35,8 +44,9 @@ def bucket_edges(df: DataFrame, value: str, by: str | None = None, buckets: int
     sketch = F.percentile_approx(F.col(value), probs, 20 * buckets).alias("cuts")
     if by is None:
         rows = df.agg(sketch).collect()
-        return {None: sorted(set(rows[0]["cuts"] or []))}
-    return {r[by]: sorted(set(r["cuts"] or [])) for r in df.groupBy(by).agg(sketch).collect()}
+        return Cuts({None: sorted(set(rows[0]["cuts"] or []))}, df)
+    groups = df.groupBy(by).agg(sketch).collect()
+    return Cuts({r[by]: sorted(set(r["cuts"] or [])) for r in groups}, df)
 
 
 def _bucket(value: str, by: str | None, edges: dict) -> Column:
@@ -66,7 +76,7 @@ def _bucket(value: str, by: str | None, edges: dict) -> Column:
 
 
 def cumulate(
-    counts: DataFrame, value: str, by: str | None = None, edges: dict | None = None, n: str = "n"
+    counts: DataFrame, value: str, by: str | None = None, edges: Cuts | None = None, n: str = "n"
 ) -> DataFrame:
     """Add ``n_below`` (rows with a smaller value) and ``n_total`` to value counts.
 
@@ -76,16 +86,20 @@ def cumulate(
     keys = [by] if by else []
     up_to_here = (Window.unboundedPreceding, -1)
     over_group = Window.partitionBy(*keys)
-    if not edges or not any(edges.values()):
+    if edges is None or not any(edges.points.values()):
         below = F.sum(n).over(over_group.orderBy(value).rowsBetween(*up_to_here))
         return counts.withColumns(
             {"n_below": F.coalesce(below, F.lit(0)), "n_total": F.sum(n).over(over_group)}
         )
-    cut = counts.withColumn("_b", _bucket(value, by, edges))
-    # at most (number of cut points + 1) rows per group reach this window
+    bucket = _bucket(value, by, edges.points).alias("_b")
+    cut = counts.withColumn("_b", bucket)
+    # counted on the rows themselves: no second shuffle by value, and at most
+    # (number of cut points + 1) rows per group reach this window
     totals = (
-        cut.groupBy(*keys, "_b")
-        .agg(F.sum(n).alias("_bn"))
+        edges.rows.where(F.col(value).isNotNull())
+        .select(*keys, bucket)
+        .groupBy(*keys, "_b")
+        .agg(F.count(F.lit(1)).alias("_bn"))
         .select(
             *keys,
             "_b",
@@ -108,7 +122,7 @@ def order_statistics(
     value: str,
     percents: Sequence[int],
     by: str | None = None,
-    edges: dict | None = None,
+    edges: Cuts | None = None,
     prefix: str = "p",
 ) -> DataFrame:
     """Exact percentiles, definition 5: average the two neighbours at integer n*p.
@@ -137,7 +151,7 @@ def order_statistics(
 
 
 def average_ranks(
-    counts: DataFrame, value: str, by: str | None = None, edges: dict | None = None
+    counts: DataFrame, value: str, by: str | None = None, edges: Cuts | None = None
 ) -> DataFrame:
     """Average rank for ties, one row per (group, value)."""
     return cumulate(counts, value, by, edges).withColumn(

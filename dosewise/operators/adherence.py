@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dosewise.functions import day_number, known
 from dosewise.functions.ranks import bucket_edges, order_statistics, value_counts
 from dosewise.operators.joins import attach_scalars
+from dosewise.sources import persist_stage
 
 
 def refill_gap(fills: DataFrame) -> DataFrame:
@@ -126,7 +127,11 @@ def proportion_days_covered(daily: DataFrame, min_days: int, label: str = "atc3"
 
 
 def pdc_summary(pdc: DataFrame, label: str = "atc3", percents: Sequence[int] = (5, 10, 25, 50, 75, 90, 95)) -> DataFrame:
-    """Minimum, percentiles (definition 5) and maximum of the PDC per class."""
+    """Minimum, percentiles (definition 5) and maximum of the PDC per class.
+
+    Ranking reads the table several times, so it is written once.
+    """
+    pdc = persist_stage(pdc.select(label, "pdc"))
     edges = bucket_edges(pdc, "pdc", label)
     ends = pdc.groupBy(label).agg(F.min("pdc").alias("min"), F.max("pdc").alias("max"))
     marks = order_statistics(value_counts(pdc, "pdc", [label]), "pdc", percents, label, edges)
