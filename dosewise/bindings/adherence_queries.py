@@ -13,6 +13,7 @@ from dosewise.operators.derive import atc_levels
 from dosewise.operators.profiles import missing_profile
 from dosewise.plans.model_table import model_table
 from dosewise.plans.pdc import PdcSettings, build_pdc
+from dosewise.sources import persist_stage
 
 SETTINGS = PdcSettings(codes=CODES, rare_limit=5)
 PERCENTS = (5, 10, 25, 50, 75, 90, 95)
@@ -113,13 +114,18 @@ BY_CLASS_SQL = "bought as (select atc3, p_id, index_date, trans_date, sum(median
 PDC_OUT = "select atc3, p_id, round(days_covered,6) as days_covered, total_n_days, round(pdc,6) as pdc from pdc"
 
 
+def pdc_rows(c):
+    """Claims of indexed patients, written once: medians and history both read them."""
+    return persist_stage(c.cohort_rows.select("p_id", "index_date", "trans_date", "prod", "fcc", "atc", "units"))
+
+
 def pdc_rounded(df):
     return rounded(df, ["days_covered", "pdc"])
 
 
 @query("pdc_by_class", PDC_OUT, f"{PDC_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')}")
 def pdc_by_class(t, c):
-    return pdc_rounded(build_pdc(c.cohort_rows, SETTINGS))
+    return pdc_rounded(build_pdc(pdc_rows(c), SETTINGS))
 
 
 @query(
@@ -128,7 +134,7 @@ def pdc_by_class(t, c):
     f"{PDC_SQL}, {BY_CLASS_SQL.replace('select atc3,', 'select cast(4 as varchar)||$$ ATC3$$ as atc3,')}, {EPISODES_SQL.format(daily='bought')}",
 )
 def pdc_all_classes(t, c):
-    return pdc_rounded(build_pdc(c.cohort_rows, SETTINGS, "4 ATC3"))
+    return pdc_rounded(build_pdc(pdc_rows(c), SETTINGS, "4 ATC3"))
 
 
 @query(
@@ -137,7 +143,7 @@ def pdc_all_classes(t, c):
     f"{PDC_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')}",
 )
 def pdc_build(t, c):
-    pdc = build_pdc(c.cohort_rows, SETTINGS)
+    pdc = build_pdc(pdc_rows(c), SETTINGS)
     out = pdc.groupBy("atc3").agg(
         F.count(F.lit(1)).alias("n_patients"),
         F.avg("pdc").alias("mean_pdc"),
