@@ -273,7 +273,7 @@ def top_atc(t, c):
     return rounded(agg.top_atc(derive.atc_levels(c.pre360)), ["rows_per_patient"])
 
 
-# products under five per cent of all patients, so that the limit scales with the data
+# at most 64 per cent of all patients, so that the limit scales with the data
 @query(
     "rare_products",
     "select prod, count(distinct p_id) as p_count from rx group by prod having count(distinct p_id) <= "
