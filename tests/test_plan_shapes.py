@@ -84,3 +84,40 @@ def test_scratch_folder_is_the_shared_one(spark):
 def test_no_query_asks_sql_for_a_subset():
     for text in oracle_sql().values():
         assert "using sample" not in text.lower()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+
+    from dosewise import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Cluster:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.scratch_dir(Cluster())
+    Context.master = "local[8]"
+    assert session.scratch_dir(Cluster()).startswith(session.LOCAL_MASTER_FOLDER)
+    session._stages.pop()
+
+
+def test_stages_are_deleted_on_release(spark):
+    import os
+
+    from dosewise import session
+
+    before = len(session._stages)
+    df = session.stage(spark.range(3))
+    path = session._stages[-1].removeprefix("file:")
+    assert df.count() == 3 and os.path.exists(path)
+    assert session.release_stages(spark, since=before) == 1 and not os.path.exists(path)
