@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dosewise.llm.decontaminate import contamination
+from dosewise.llm.id_files import read_ids, write_ids
+from dosewise.llm.mixing import mixture
+from dosewise.llm.sharding import record_size, write_shards
 from dosewise.llm.shingle_join import jaccard_components
-from dosewise.session import tune
+from dosewise.llm.substring_dedup import remove_repeats
+from dosewise.llm.token_counts import token_counts
+from dosewise.session import scratch_dir, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Tokens that a model reads at once.
+CONTEXT = 1024
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -22,6 +34,62 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "block", "copies")
+
+
+@query
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(tune(spark))
+    write_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), path)
+    return read_ids(spark, path).select(
+        "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(tune(spark))
+    write_shards(_table(spark, sf_dir, "documents"), path)
+    return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
+        "doc_id",
+        record_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    )
