@@ -15,6 +15,7 @@ from dosewise.llm.sharding import record_size, write_shards
 from dosewise.llm.shingle_join import jaccard_components
 from dosewise.llm.substring_dedup import remove_repeats
 from dosewise.llm.token_counts import token_counts
+from dosewise.llm.vector_dedup import vector_links
 from dosewise.session import scratch_dir, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +65,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(tune(spark))
