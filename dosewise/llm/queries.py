@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dosewise.llm.decontaminate import contamination
 from dosewise.llm.id_files import read_ids, write_ids
+from dosewise.llm.language_id import fit, is_held_out, predict
 from dosewise.llm.mixing import mixture
 from dosewise.llm.sharding import record_size, write_shards
 from dosewise.llm.shingle_join import jaccard_components
@@ -65,6 +66,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs)).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(_table(spark, sf_dir, "embeddings"))
