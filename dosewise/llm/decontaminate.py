@@ -122,29 +122,34 @@ def _extents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_hit.append(int(np.count_nonzero(np.cumsum(cover[:-1]))))
             items.append(sorted(str(x) for x in got))
             spans.append([{"start": a, "end": b} for a, b in sorted(set(found))])
+        carried = [x for x in part.schema.names if x == "rest"]
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
                 part.column("text"),
+                *(part.column(x) for x in carried),
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             ],
-            ["doc_id", "text", "n_words", "n_hit", "items", "spans"],
+            ["doc_id", "text", *carried, "n_words", "n_hit", "items", "spans"],
         )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, text, n_words, n_hit, items, spans for every row of docs.
 
+    With carry, rest holds the row's columns but the text.
+
     items are the ids of the benchmark rows that have a window in the document,
     sorted as strings; spans the hit word ranges. Null and wordless texts have
     no words and no hits; benchmark rows without id or words are left out, and
     rows that share an id count once. Rows without doc_id are compared like the
     others. Other columns are ignored; an empty table on either side gives no hits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = [F.struct(*(x for x in docs.columns if x != "text")).alias("rest")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
     items = stage(
         benchmark.where("item_id is not null")
         .select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -154,10 +159,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = stage(items.mapInArrow(_item_prints, "item_id long, print long, item_pos int, item_words array<long>"))
     short = items.where(F.size("item_words") < WINDOW).select(F.size("item_words").alias("n")).distinct()
     lengths = sorted(r["n"] for r in short.collect())  # at most WINDOW - 1 numbers
-    nameless = F.lit(-(1 << 63))
+    nameless = F.lit(-(1 << 63))  # meetings of rows without id are offered to all of them, and checked word by word
     keyed = docs.withColumn("doc_id", F.coalesce("doc_id", nameless))
     meets = (
-        keyed.mapInArrow(_doc_prints(lengths), "doc_id long, print long, pos int")
+        keyed.select("doc_id", "text").mapInArrow(_doc_prints(lengths), "doc_id long, print long, pos int")
         .join(prints, "print")
         .groupBy("doc_id", "item_id", "item_words")
         .agg(F.collect_list(F.struct("pos", "item_pos")).alias("at"))
@@ -168,10 +173,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ).alias("meets")
         )
     )
+    carried = f"rest {keyed.schema['rest'].dataType.simpleString()}, " if carry else ""
     return (
-        keyed.join(stage(meets), "doc_id", "left").select(F.nullif("doc_id", nameless).alias("doc_id"), "text", "meets")
+        keyed.join(stage(meets), "doc_id", "left")
+        .select(F.nullif("doc_id", nameless).alias("doc_id"), "text", *(["rest"] if carry else []), "meets")
         .mapInArrow(
             _extents,
-            "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>",
+            f"doc_id long, text string, {carried}n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>",
         )
     )

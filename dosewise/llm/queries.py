@@ -12,6 +12,7 @@ from dosewise.llm.decontaminate import contamination
 from dosewise.llm.id_files import read_ids, write_ids
 from dosewise.llm.language_id import fit, is_held_out, predict
 from dosewise.llm.mixing import mixture
+from dosewise.llm.pseudo_likelihood import score
 from dosewise.llm.sharding import record_size, write_shards
 from dosewise.llm.shingle_join import jaccard_components
 from dosewise.llm.substring_dedup import remove_repeats
@@ -101,6 +102,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
