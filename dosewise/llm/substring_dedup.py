@@ -103,60 +103,98 @@ def _named(table: pa.Table, hit: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield from rows.filter(rows.column("doc_id").is_valid()).to_batches()
 
 
+def _runs(*same: np.ndarray) -> np.ndarray:
+    """Where runs begin: the first row, and rows where a step is not as given."""
+    n = len(same[0]) + 1
+    new = np.ones(n, bool)
+    new[1:] = ~np.logical_and.reduce(same)
+    return np.flatnonzero(new)
+
+
+def _span_rows(doc: np.ndarray, pos: np.ndarray, source_doc: np.ndarray, source_pos: np.ndarray) -> list[np.ndarray]:
+    """Windows in order of place -> doc, start, number, source doc and start of the runs that move on with their source."""
+    if not len(doc):
+        return [x[:0] for x in (doc, pos, pos, source_doc, source_pos)]
+    at = _runs(*(np.diff(x) == step for x, step in ((doc, 0), (pos, 1), (source_doc, 0), (source_pos, 1))))
+    return [doc[at], pos[at], np.diff(np.append(at, len(doc))), source_doc[at], source_pos[at]]
+
+
 def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges at shared anchors. Those of a portion's smallest document go on to
-    be compared; the others of the portion already have a source."""
+    """Edges at shared anchors, those of consecutive windows at one anchor in one
+    row. Edges of a portion's smallest document go on to be compared; the others
+    of the portion already have a source and become spans."""
     for part in portions(batches):
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         w = words(part.column("text"), SPACED, lower=False)
         starts, owner, at = _anchored(w)
+        grams = windows(w.hash, GRAM)
         found = part.column("found")
         marks = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         sizes = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         row = lambda t, i: mix(t + i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        wanted = np.isin(row(windows(w.hash, GRAM)[at], owner), row(marks, np.repeat(np.arange(len(sizes)), sizes)))
-        starts, owner = starts[wanted], owner[wanted]
-        edge, doc = windows(w.hash, WINDOW)[starts], ids[owner]
-        pos = starts - w.first[owner]
+        wanted = np.isin(row(grams[at], owner), row(marks, np.repeat(np.arange(len(sizes)), sizes)))
+        starts, owner, at = starts[wanted], owner[wanted], at[wanted]
+        edge, doc, pos = windows(w.hash, WINDOW)[starts], ids[owner], starts - w.first[owner]
         order = np.lexsort((pos, doc, edge))
-        edge, doc, pos = edge[order], doc[order], pos[order]
-        first = np.concatenate([[True], edge[1:] != edge[:-1]])[: len(edge)]
-        source = np.maximum.accumulate(np.where(first, np.arange(len(edge)), 0))
+        first = np.ones(len(edge), bool)
+        first[1:] = edge[order][1:] != edge[order][:-1]
+        source = np.empty(len(edge), np.int64)
+        source[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(edge)), 0))] if len(edge) else order
         settled = doc > doc[source]
+        spans = _span_rows(*(x[settled] for x in (doc, pos, doc[source], pos[source])))
+        edge, doc, pos, at, owner = (x[~settled] for x in (edge, doc, pos, at, owner))
+        cut = _runs(np.diff(at) == 0, np.diff(owner) == 0, np.diff(pos) == 1) if len(edge) else np.zeros(0, np.int64)
+        n1, n2 = len(cut), len(spans[0])
+        compared = np.arange(n1 + n2) < n1
+        filled = lambda a, b: np.concatenate([a, b])
+        none1, none2 = np.zeros(n1, np.int64), np.zeros(n2, np.int64)
+        offsets = filled(np.append(cut, len(edge))[: n1 + 1] if n1 else np.zeros(1, np.int64), np.full(n2, len(edge)))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(edge.view(np.int64), mask=settled),
-                pa.array(doc),
-                pa.array(pos.astype(np.int32)),
-                pa.array(doc[source], mask=~settled),
-                pa.array(pos[source].astype(np.int32), mask=~settled),
+                pa.array(filled(grams[at[cut]].view(np.int64), none2), mask=~compared),
+                pa.array(filled(doc[cut], spans[0])),
+                pa.array(filled(pos[cut], spans[1]).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(edge.view(np.int64))),
+                pa.array(filled(none1, spans[2]), mask=compared),
+                pa.array(filled(none1, spans[3]), mask=compared),
+                pa.array(filled(none1, spans[4]).astype(np.int32), mask=compared),
             ],
-            ["edge", "doc_id", "pos", "source_doc", "source_pos"],
+            ["anchor", "doc_id", "start", "edges", "n", "source_doc", "source_start"],
         )
 
 
 def _repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (edge, doc_id, pos), nulls first -> those with a smaller
-    source document, and their source. A run's source is kept across batches."""
-    last: tuple[int, int, int] | None = None
+    """Rows sorted by (anchor, doc_id, start), spans first -> spans with a source
+    in a smaller document. Equal edges have equal anchors, so the first of equal
+    edges is their source; those of the last anchor are kept for the next batch."""
+    names = ["doc_id", "start", "n", "source_doc", "source_start"]
+    last, kept = None, [np.zeros(0, np.int64)] * 3  # anchor; its edges, source documents and places
     for batch in batches:
-        settled = batch.column("edge").null_count
-        if settled:
-            yield batch.slice(0, settled).select(["doc_id", "pos", "source_doc", "source_pos"])
-        rest = batch.slice(settled)
+        done = batch.column("anchor").null_count
+        if done:
+            yield batch.slice(0, done).select(names)
+        rest = batch.slice(done)
         if not rest.num_rows:
             continue
-        edge, doc, pos = (rest.column(x).to_numpy() for x in ("edge", "doc_id", "pos"))
-        first = np.concatenate([[True], edge[1:] != edge[:-1]])
-        source = np.maximum.accumulate(np.where(first, np.arange(len(edge)), 0))
-        source_doc, source_pos = doc[source], pos[source]
-        if last and last[0] == edge[0]:
-            source_doc[source == 0], source_pos[source == 0] = last[1], last[2]
-        last = (edge[-1], source_doc[-1], source_pos[-1])
-        keep = doc > source_doc
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (doc, pos, source_doc, source_pos)], ["doc_id", "pos", "source_doc", "source_pos"]
-        )
+        anchor = rest.column("anchor").to_numpy()
+        sizes = rest.column("edges").value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = rest.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = [rest.column("edges").flatten().to_numpy(), rest.column("doc_id").to_numpy()[row], pos.astype(np.int64)]
+        before = kept if last == anchor[0] else [x[:0] for x in kept]
+        edge, doc, pos = (np.concatenate(x) for x in zip(before, own, strict=True))
+        order = np.argsort(edge, kind="stable")
+        first = np.ones(len(edge), bool)
+        first[1:] = edge[order][1:] != edge[order][:-1]
+        source = np.empty(len(edge), np.int64)
+        source[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(edge)), 0))]
+        of_last = np.concatenate([np.full(len(before[0]), anchor[0] == anchor[-1]), (anchor == anchor[-1])[row]])
+        keep = of_last & (source == np.arange(len(edge)))
+        last, kept = anchor[-1], [x[keep] for x in (edge, doc, pos)]
+        hit = doc > doc[source]
+        spans = _span_rows(*(x[hit] for x in (doc, pos, doc[source], pos[source])))
+        types = (np.int64, np.int32, np.int64, np.int64, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(spans, types, strict=True)], names)
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +238,22 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
         .mapInArrow(_shared, "doc_id long, found long")
         .groupBy("doc_id").agg(F.collect_list("found").alias("found"))
     )
-    repeats = (
-        docs.join(found, "doc_id").select("doc_id", "text", "found")
-        .mapInArrow(_edges, "edge long, doc_id long, pos int, source_doc long, source_pos int")
-        .repartition(F.coalesce("edge", "doc_id"))
-        .sortWithinPartitions("edge", "doc_id", "pos")
-        .mapInArrow(_repeats, "doc_id long, pos int, source_doc long, source_pos int")
+    spans = (
+        docs.join(found.hint("merge"), "doc_id").select("doc_id", "text", "found")
+        .mapInArrow(
+            _edges, "anchor long, doc_id long, start int, edges array<long>, n long, source_doc long, source_start int"
+        )
+        .repartition(F.coalesce("anchor", "doc_id"))
+        .sortWithinPartitions("anchor", "doc_id", "start")
+        .mapInArrow(_repeats, "doc_id long, start int, n long, source_doc long, source_start int")
     )
-    shift = F.col("pos") - F.col("source_pos")
-    along = Window.partitionBy("doc_id", "source_doc", "shift").orderBy("pos")
+    along = Window.partitionBy("doc_id", "source_doc", "shift").orderBy("start")
+    goes_on = F.col("start") == F.lag(F.col("start") + F.col("n")).over(along)
     return (
-        repeats.repartition("doc_id").withColumn("shift", shift)
-        .withColumn("run", F.col("pos") - F.row_number().over(along))
-        .groupBy("doc_id", "source_doc", "shift", "run").agg(F.min("pos").alias("start"), F.count("*").alias("edges"))
+        spans.repartition("doc_id").withColumn("shift", F.col("start") - F.col("source_start"))
+        .withColumn("new", F.when(goes_on, 0).otherwise(1))
+        .withColumn("path", F.sum("new").over(along))
+        .groupBy("doc_id", "source_doc", "shift", "path").agg(F.min("start").alias("start"), F.sum("n").alias("edges"))
         .groupBy("doc_id").agg(
             F.collect_list(
                 F.struct("start", "edges", "source_doc", (F.col("start") - F.col("shift")).alias("source_start"))
@@ -231,9 +272,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lose what any row of that doc_id at the same place loses. Other columns are
     ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = docs.where("doc_id is not null")  # the same on both sides, so that its exchange is made once
-    marked = known.join(repeated_paths(known), "doc_id", "left").select("doc_id", "text", "paths")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text")  # no alias, and the same filter on both sides of
+    known = docs.where("doc_id is not null")  # the join: the exchange of the texts is made once
+    marked = known.join(repeated_paths(known).hint("merge"), "doc_id", "left").select("doc_id", "text", "paths")
     nameless = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(PATHS).alias("paths"))
     return marked.unionByName(nameless).mapInArrow(
         _cut, f"doc_id long, kept_text string, n_words long, n_removed long, paths {PATHS}"
