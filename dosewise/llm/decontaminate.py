@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False) ->
     )
     carried = f"rest {keyed.schema['rest'].dataType.simpleString()}, " if carry else ""
     return (
-        keyed.join(stage(meets), "doc_id", "left")
+        keyed.join(stage(meets).hint("merge"), "doc_id", "left")  # of any size: the plan is the same for all
         .select(F.nullif("doc_id", nameless).alias("doc_id"), "text", *(["rest"] if carry else []), "meets")
         .mapInArrow(
             _extents,
