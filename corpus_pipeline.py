@@ -25,6 +25,7 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language likely."""
+    tune(spark)
     rows = docs.select(F.struct("*").alias("row"), "text")
     judged = predict(rows, fit(docs), ("row",))
     return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
@@ -33,21 +34,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; of repeated rows one.
     Documents without id are compared with none and stay."""
+    tune(spark)
     parts = jaccard_components(docs)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     docs = docs.dropDuplicates() if repeated else docs
-    return docs.join(stage(parts.where("component_id <> doc_id").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    gone = stage(parts.where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    benchmark = tune(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(docs, benchmark, carry=True).where("n_hit = 0")
     return found.select(*(F.col("text") if x == "text" else F.col(f"rest.`{x}`") for x in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture reads it, those it leaves out not at all."""
+    tune(spark)
     copies = mixture(docs).select("doc_id", "text_key", F.col("source").alias("from"), "copies").distinct()
     key = (
         docs["doc_id"].cast("long").eqNullSafe(copies["doc_id"])
@@ -55,12 +59,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         & (F.coalesce(docs["source"].cast("string"), F.lit(NO_SOURCE)) == copies["from"])
     )
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("time")
-    return docs.join(copies.where("copies > 0"), key).select(*(docs[x] for x in docs.columns), times).drop("time")
+    return docs.join(copies.where("copies > 0").hint("merge"), key).select(*(docs[x] for x in docs.columns), times).drop("time")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Id files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
-    path = scratch_dir(spark)
+    path = scratch_dir(tune(spark))
     write_ids(docs, public_tokenizers.path(TOKENIZER), path)
     return read_ids(spark, path).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
