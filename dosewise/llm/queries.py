@@ -12,6 +12,7 @@ from dosewise.llm.decontaminate import contamination
 from dosewise.llm.id_files import read_ids, write_ids
 from dosewise.llm.language_id import fit, is_held_out, predict
 from dosewise.llm.mixing import mixture
+from dosewise.llm.oracles import ORACLES
 from dosewise.llm.pseudo_likelihood import score
 from dosewise.llm.sharding import record_size, write_shards
 from dosewise.llm.shingle_join import jaccard_components
@@ -20,9 +21,9 @@ from dosewise.llm.token_counts import token_counts
 from dosewise.llm.vector_dedup import vector_links
 from dosewise.session import scratch_dir, tune
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Tokens that a model reads at once.
 CONTEXT = 1024
 TOKENIZER = "byte_bpe_50k.json"
