@@ -12,7 +12,7 @@ from dosewise.operators.reshape import transpose_stats
 from dosewise.operators.stats import corr_with_target
 from dosewise.plans import cohort as cohort_plan
 from dosewise.plans.cohort import FIRST_DAY, INDEX_END, INDEX_START, LAST_DAY
-from dosewise.plans.patient_mart import ATC3_LEVELS, MARKET_MOLECULES, URBAN_LEVELS, patient_mart
+from dosewise.plans.patient_mart import ATC3_LEVELS, MARKET_MOLECULES, URBAN_LEVELS, mart_levels, patient_mart
 from dosewise.plans.profile_features import profile_features
 
 STEMS = ("red",)
@@ -484,6 +484,18 @@ def patient_mart_query(t, c):
     return rounded(out, [f"pre_{s}_cost" for s in derive.COST_NAMES.values()], 4)
 
 
+@query(
+    "mart_levels",
+    """select distinct p_id, 'market_molecule' as family, mol1 as level from ra where market=1 and mol1 is not null union all
+ select p_id, 'start_molecule', mol_start from pk where mol_start is not null union all
+ select p_id, 'pack_size', cast(pack_size as varchar) from pk where pack_size is not null union all
+ select p_id, 'strength', str_unit from pk where str_unit is not null""",
+    MART_VIEWS,
+)
+def mart_levels_query(t, c):
+    return mart_levels(t, INDEX_START)
+
+
 @query(
     "profile_features",
     f"""select i.p_id, i.index_date, f.mol1 as index_molecule,

@@ -11,12 +11,14 @@ from dosewise.operators import split, stats
 from dosewise.sources import persist_stage
 
 SEEDS = (101, 202, 303)
-X = [f"x{i}" for i in range(8)]
 FEATURES_SQL = (
     "ft as (select vec_id as id, cast(label%2 as int) as response, "
     + ", ".join(f"cast(embedding[{i + 1}] as double) as x{i}" for i in range(8))
     + " from embeddings)"
 )
+# every entry of the embeddings against every other
+ENTRIES_SQL = """w as (select max(len(embedding)) as w from embeddings),
+ ii as (select unnest(range(w)) as i from w), jj as (select unnest(range(w)) as j from w)"""
 
 
 def event_labels(t):
@@ -116,16 +118,14 @@ def score_bucket_profile(t, c):
 # ---- correlation ------------------------------------------------------------------------------
 
 
-_pairs = [(a, b) for a in X for b in X]
-
-
 @query(
     "corr_matrix",
-    " union all ".join(f"select '{a}' as var1, '{b}' as var2, round(corr({a},{b}),6) as corr from ft" for a, b in _pairs),
-    FEATURES_SQL,
+    "select 'x' || i as var1, 'x' || j as var2, round(corr(cast(embedding[i+1] as double), cast(embedding[j+1] as double)),6) as corr "
+    "from embeddings, ii, jj group by i, j",
+    ENTRIES_SQL,
 )
 def corr_matrix(t, c):
-    return rounded(stats.corr_matrix(t.features(8), X), ["corr"])
+    return rounded(stats.corr_matrix(t.features(), t.covariates), ["corr"])
 
 
 _clones = (
@@ -144,7 +144,7 @@ _fc = ["x0", "x1", "x2", "y0", "y1", "y2"]
     f"{FEATURES_SQL}, {_clones}",
 )
 def high_corr_pairs(t, c):
-    rows = t.features(3).select(
+    rows = t.features().select(
         "x0", "x1", "x2",
         (F.col("x0") * 2 + 1).alias("y0"),
         (-F.col("x1")).alias("y1"),

@@ -2,118 +2,96 @@
 
 A window without a fine partitioning would pull a whole column into one task.
 Here values are counted first (map-side combine collapses a hot value to one
-row), cut into ordered buckets, and only the bucket totals, a bounded table,
-are cumulated globally; rows are ordered inside their bucket.
+row), and the counts are cut into ordered buckets: by WAYS approximate quantiles
+of the values, then each part again by its own, as often as the number of counts
+asks for. Only the bucket totals are cumulated globally; counts are ordered
+inside their bucket. The cuts decide how work is spread, not the results.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewise.session import stage
+
+#: Parts of one level of cuts, accuracy of their quantiles, and counts aimed at in a bucket.
+WAYS, ACCURACY, PER_BUCKET = 256, 1000, 1_000_000
+
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., value, n) for the non-missing values."""
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-@dataclass(frozen=True)
-class Cuts:
-    """Cut points per group, and the rows whose values they cut."""
-
-    points: dict
-    rows: DataFrame
-
+def bucketed(counts: DataFrame, value: str, keys: Sequence[str], per_bucket: int = PER_BUCKET, ways: int = WAYS) -> tuple[DataFrame, list[str]]:
+    """counts with order-preserving bucket numbers, and the names of these columns.
 
-def bucket_edges(df: DataFrame, value: str, by: str | None = None, buckets: int | None = None) -> Cuts:
-    """Approximate quantile cut points per group, gathered as plain lists.
-
-    The sketches are merged map-side, and ``by`` is a column with few values
-    (a column name, a treatment class, a simulation number), so the driver
-    receives at most groups x buckets numbers. The cut points only decide how
-    work is spread; results do not depend on them. There are a few buckets per
-    shuffle partition.
-    """
-    if buckets is None:
-        buckets = min(4096, max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(F.col(value), probs, 20 * buckets).alias("cuts")
-    if by is None:
-        rows = df.agg(sketch).collect()
-        return Cuts({None: sorted(set(rows[0]["cuts"] or []))}, df)
-    groups = df.groupBy(by).agg(sketch).collect()
-    return Cuts({r[by]: sorted(set(r["cuts"] or [])) for r in groups}, df)
-
-
-def _bucket(value: str, by: str | None, edges: dict) -> Column:
-    """Order-preserving bucket number: how many cut points lie below the value.
-
-    Cut points are searched in two steps, first among every k-th, then in the
-    stretch that follows, so about 2 sqrt(n) comparisons are made per row.
+    A level is one small table: a row of cut points for each bucket so far, from
+    sketches of ACCURACY entries, joined back. The number of levels follows from
+    that of the counts, so a bucket stays within memory at any size.
     """
-    v = F.col(value)
-
-    def count_below(cuts: Column) -> Column:
-        return F.size(F.filter(cuts, lambda e: e < v))
-
-    def search(cuts: list) -> Column:
-        step = max(1, math.isqrt(len(cuts)))
-        start = (count_below(F.lit(cuts[::step])) - 1) * step
-        fine = F.slice(F.lit(cuts), F.greatest(start, F.lit(0)) + 1, step)
-        return F.when(start < 0, 0).otherwise(start + count_below(fine))
-
-    if by is None:
-        return search(edges[None])
-    bucket = F.lit(0)
-    for group, cuts in edges.items():
-        if group is not None and cuts:
-            bucket = F.when(F.col(by) == group, search(cuts)).otherwise(bucket)
-    return bucket
-
-
-def cumulate(
-    counts: DataFrame, value: str, by: str | None = None, edges: Cuts | None = None, n: str = "n"
-) -> DataFrame:
+    names: list[str] = []
+    left = counts.count()
+    probs = [i / ways for i in range(1, ways)]
+    while left > per_bucket:
+        level = [*keys, *names]
+        sketch = F.percentile_approx(value, probs, max(ACCURACY, ways)).alias("_cuts")
+        name = f"_b{len(names)}"
+        place = F.size(F.filter("_cuts", lambda e: e < F.col(value)))
+        if level:
+            cuts = stage(counts.groupBy(*level).agg(sketch))
+            same = [counts[k].eqNullSafe(cuts[k]) for k in level]
+            met = counts.join(cuts, _all(same))
+            counts = met.select(*[counts[c] for c in counts.columns], place.alias(name))
+        else:
+            points = counts.agg(sketch).first()["_cuts"] or []
+            counts = counts.withColumn(name, F.size(F.filter(F.lit(points), lambda e: e < F.col(value))))
+        names.append(name)
+        left /= ways
+    return counts, names
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def cumulate(counts: DataFrame, value: str, by: str | None = None, n: str = "n", per_bucket: int = PER_BUCKET, ways: int = WAYS) -> DataFrame:
     """Add ``n_below`` (rows with a smaller value) and ``n_total`` to value counts.
 
-    Without ``edges`` a group is ordered in one piece, which suits values that
-    are few by nature, such as whole or half days.
+    The counts are written once, since cuts, totals and ranks all read them.
     """
     keys = [by] if by else []
     up_to_here = (Window.unboundedPreceding, -1)
     over_group = Window.partitionBy(*keys)
-    if edges is None or not any(edges.points.values()):
+    cut, buckets = bucketed(stage(counts), value, keys, per_bucket, ways)
+    if not buckets:
         below = F.sum(n).over(over_group.orderBy(value).rowsBetween(*up_to_here))
-        return counts.withColumns(
+        return cut.withColumns(
             {"n_below": F.coalesce(below, F.lit(0)), "n_total": F.sum(n).over(over_group)}
         )
-    bucket = _bucket(value, by, edges.points).alias("_b")
-    cut = counts.withColumn("_b", bucket)
-    # counted on the rows themselves: no second shuffle by value, and at most
-    # (number of cut points + 1) rows per group reach this window
     totals = (
-        edges.rows.where(F.col(value).isNotNull())
-        .select(*keys, bucket)
-        .groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_bn"))
+        cut.groupBy(*keys, *buckets)
+        .agg(F.sum(n).alias("_bn"))
         .select(
             *keys,
-            "_b",
-            F.coalesce(F.sum("_bn").over(over_group.orderBy("_b").rowsBetween(*up_to_here)), F.lit(0)).alias("_offset"),
+            *buckets,
+            F.coalesce(F.sum("_bn").over(over_group.orderBy(*buckets).rowsBetween(*up_to_here)), F.lit(0)).alias("_offset"),
             F.sum("_bn").over(over_group).alias("n_total"),
         )
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(*up_to_here)
+    inside = Window.partitionBy(*keys, *buckets).orderBy(value).rowsBetween(*up_to_here)
     # the window has already placed the rows by the join keys, so only the totals move
     return (
         cut.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(totals, [*keys, "_b"])
+        .join(totals, [*keys, *buckets])
         .withColumn("n_below", F.col("_offset") + F.col("_in"))
-        .drop("_b", "_in", "_offset")
+        .drop(*buckets, "_in", "_offset")
     )
 
 
@@ -122,8 +100,8 @@ def order_statistics(
     value: str,
     percents: Sequence[int],
     by: str | None = None,
-    edges: Cuts | None = None,
     prefix: str = "p",
+    **cuts: int,
 ) -> DataFrame:
     """Exact percentiles, definition 5: average the two neighbours at integer n*p.
 
@@ -131,7 +109,7 @@ def order_statistics(
     is the usual median. Ranks are integer arithmetic, so no rounding decides
     which observation is picked.
     """
-    c = cumulate(counts, value, by, edges)
+    c = cumulate(counts, value, by, **cuts)
     last = F.col("n_below") + F.col("n")
 
     def holds(rank: Column) -> Column:
@@ -150,11 +128,9 @@ def order_statistics(
     return c.groupBy(*([by] if by else [])).agg(*aggs)
 
 
-def average_ranks(
-    counts: DataFrame, value: str, by: str | None = None, edges: Cuts | None = None
-) -> DataFrame:
+def average_ranks(counts: DataFrame, value: str, by: str | None = None, **cuts: int) -> DataFrame:
     """Average rank for ties, one row per (group, value)."""
-    return cumulate(counts, value, by, edges).withColumn(
+    return cumulate(counts, value, by, **cuts).withColumn(
         "avg_rank", F.col("n_below") + (F.col("n") + 1) / 2
     )
 
@@ -162,11 +138,11 @@ def average_ranks(
 def hash_row_number(df: DataFrame, by: Sequence[str], digest: str, tie: str, name: str = "rn") -> DataFrame:
     """Row number within ``by`` in (digest, tie) order, for a hexadecimal digest.
 
-    The first three digits of a digest are uniform, so 4096 equal buckets carry
-    the ordering and only their sizes (4096 per group) are cumulated. The join
-    of the sizes reuses the placement of the rows by the window.
+    The first five digits of a digest are uniform, so 2 ** 20 equal buckets carry
+    the ordering and only their sizes (one row each per group) are cumulated. The
+    join of the sizes reuses the placement of the rows by the window.
     """
-    cut = df.withColumn("_b", F.substring(digest, 1, 3))
+    cut = df.withColumn("_b", F.substring(digest, 1, 5))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = (

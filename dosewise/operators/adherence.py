@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosewise.functions import day_number, known
-from dosewise.functions.ranks import bucket_edges, order_statistics, value_counts
+from dosewise.functions.ranks import order_statistics, value_counts
 from dosewise.operators.joins import attach_scalars
 from dosewise.sources import persist_stage
 
@@ -132,9 +132,8 @@ def pdc_summary(pdc: DataFrame, label: str = "atc3", percents: Sequence[int] = (
     Ranking reads the table several times, so it is written once.
     """
     pdc = persist_stage(pdc.select(label, "pdc"))
-    edges = bucket_edges(pdc, "pdc", label)
     ends = pdc.groupBy(label).agg(F.min("pdc").alias("min"), F.max("pdc").alias("max"))
-    marks = order_statistics(value_counts(pdc, "pdc", [label]), "pdc", percents, label, edges)
+    marks = order_statistics(value_counts(pdc, "pdc", [label]), "pdc", percents, label)
     return ends.join(marks, label)
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from dosewise.functions import filled, one_of, parse_number, parse_stamp_text
-from dosewise.functions.ranks import bucket_edges, order_statistics
+from dosewise.functions.ranks import order_statistics
 from dosewise.operators.joins import attach_scalars
+from dosewise.session import stage
 
 # Texts that stand for a missing value, compared in lower case.
 SENTINELS = (
@@ -67,10 +68,10 @@ def _kind(v: Column, sentinels: Sequence[str]) -> Column:
 
 
 def kind_counts(rows: DataFrame, columns: Sequence[str], sentinels: Sequence[str]) -> DataFrame:
-    """(variable, kind, key, n) where the text itself is not needed later: a long
-    text is counted under its SHA-256, so that it is not shuffled."""
+    """(variable, kind, key, n) where the text itself is not needed later: texts
+    are counted under their SHA-256, so that they are not shuffled."""
     v = F.col("value")
-    key = F.when(F.length(v) > 64, F.concat(F.lit("sha256 "), F.sha2(v, 256))).otherwise(v)
+    key = F.sha2(v, 256)
     return (
         long_values(rows, columns)
         .select("variable", _kind(v, sentinels).alias("kind"), key.alias("key"))
@@ -128,17 +129,11 @@ def profile_num(rows: DataFrame, columns: Sequence[str], sentinels: Sequence[str
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )
-    x_long = long_values(rows, columns).select("variable", _clean_number(sentinels).alias("x"))
     numbers = counts.where(F.col("x").isNotNull()).groupBy("variable", "x").agg(F.sum("n").alias("n"))
-    medians = order_statistics(numbers, "x", [50], "variable", bucket_edges(x_long, "x", "variable"))
+    medians = order_statistics(numbers, "x", [50], "variable")
     return basics.join(medians.withColumnRenamed("p50", "median"), "variable", "left")
 
 
-def _clean_number(sentinels):
-    v = F.col("value")
-    return F.when(filled(v) & ~one_of(F.lower(v), sentinels), parse_number(v))
-
-
 def sentinel_detail(rows: DataFrame, columns: Sequence[str], sentinels: Sequence[str] = SENTINELS) -> DataFrame:
     """Count and share of each sentinel text found, most frequent first."""
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
@@ -154,9 +149,10 @@ def top_bottom_values(rows: DataFrame, columns: Sequence[str], k: int = 10) -> D
     """The k most and k least frequent values per column, ties by value.
 
     Each side is a ranked limit per column, which Spark applies in every task
-    before the shuffle, so only k rows per column and task travel.
+    before the shuffle, so only k rows per column and task travel. The counts
+    are written once for both.
     """
-    counts = long_values(rows, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = stage(long_values(rows, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("frequency")))
 
     def side(name, order):
         w = Window.partitionBy("variable").orderBy(order, F.col("value").asc_nulls_first())
@@ -197,7 +193,7 @@ def table_summary(rows: DataFrame, columns: Sequence[str] | None = None, sentine
             F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("mean"),
         )
         medians = order_statistics(
-            counts.where(F.col("x").isNotNull()), "x", [50], "variable", bucket_edges(long, "x", "variable")
+            counts.where(F.col("x").isNotNull()).select("variable", "x", "n"), "x", [50], "variable"
         ).withColumnRenamed("p50", "median")
         parts.append(
             basics.join(medians, "variable", "left").withColumns(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.functions import known
-from dosewise.functions.ranks import average_ranks, bucket_edges, value_counts
+from dosewise.functions.ranks import average_ranks, value_counts
 from dosewise.operators.joins import attach_scalars
 
 # ---- wide aggregate to long result ----------------------------------------------
@@ -38,8 +38,7 @@ def per_column(rows: DataFrame, columns: Sequence[str], measures: dict, by: Sequ
 
 def rank_average(rows: DataFrame, column: str) -> DataFrame:
     """Each distinct value with its frequency and average rank."""
-    edges = bucket_edges(rows, column)
-    return average_ranks(value_counts(rows, column), column, edges=edges).select(column, "n", "avg_rank")
+    return average_ranks(value_counts(rows, column), column).select(column, "n", "avg_rank")
 
 
 def auc_exact(rows: DataFrame, by: str | None = None, response: str = "response", score: str = "score") -> DataFrame:
@@ -49,11 +48,12 @@ def auc_exact(rows: DataFrame, by: str | None = None, response: str = "response"
     counts = usable.groupBy(*keys, score).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(response) == 1).alias("n_pos")
     )
-    ranks = average_ranks(counts, score, by, bucket_edges(usable, score, by))
-    pos, total = F.sum("n_pos"), F.sum("n")
+    ranks = average_ranks(counts, score, by)
+    # as doubles: the products of counts leave the range of long
+    pos, total = F.sum("n_pos").cast("double"), F.sum("n").cast("double")
     rank_sum = F.sum(F.col("n_pos") * F.col("avg_rank"))
     auc = F.try_divide(rank_sum - pos * (pos + 1) / 2, pos * (total - pos))
-    return ranks.groupBy(*keys).agg(pos.alias("n_pos"), total.alias("n"), auc.alias("auc"))
+    return ranks.groupBy(*keys).agg(F.sum("n_pos").alias("n_pos"), F.sum("n").alias("n"), auc.alias("auc"))
 
 
 def perf_measures(
@@ -107,39 +107,57 @@ def score_bucket_profile(
 # ---- correlation -------------------------------------------------------------------
 
 
+#: Tasks in which the matrices of all tasks are added up.
+MERGERS = 16
+
+
 def co_moments(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centred cross products (i, j, s, s_i, s_j) of the complete rows, i <= j.
 
     Columns are centred by their means (p numbers, gathered first), then every
-    task adds up X'X of its batches and hands on p x p numbers, whatever the
-    number of rows. The squares of both columns ride along with each pair.
+    task adds up X'X of its batches and hands on one p x p matrix, whatever the
+    number of rows; MERGERS tasks add those up. The squares of both columns ride
+    along with each pair.
     """
     p = len(columns)
     full = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
     centre = np.array([np.nan if m is None else m for m in full.agg(*[F.avg(c) for c in columns]).first()])
     upper_i, upper_j = np.triu_indices(p)
 
+    schema = "i int, j int, s double, s_i double, s_j double"
+    batch_of = lambda arrays: pa.RecordBatch.from_arrays(arrays, names=["i", "j", "s", "s_i", "s_j"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """X'X of a task as one value."""
         total, seen = np.zeros((p, p)), False
         for b in batches:
             if b.num_rows:
                 x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)]) - centre
                 total += x.T @ x
                 seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sum of those that meet in a task, cut up by pair."""
+        total, seen = np.zeros((p, p)), False
+        for b in batches:
+            for raw in b.column("total"):
+                total += np.frombuffer(raw.as_py()).reshape(p, p)
+                seen = True
         if seen:
             square = np.diag(total)
-            yield pa.RecordBatch.from_arrays(
+            yield batch_of(
                 [
                     pa.array(upper_i.astype("int32")),
                     pa.array(upper_j.astype("int32")),
                     pa.array(total[upper_i, upper_j]),
                     pa.array(square[upper_i]),
                     pa.array(square[upper_j]),
-                ],
-                names=["i", "j", "s", "s_i", "s_j"],
+                ]
             )
 
-    parts = full.mapInArrow(partial, "i int, j int, s double, s_i double, s_j double")
+    parts = full.mapInArrow(partial, "total binary").repartition(MERGERS).mapInArrow(merged, schema)
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("s", "s_i", "s_j")])
 
 
@@ -201,7 +219,7 @@ def spearman_with_target(rows: DataFrame, target: str, columns: Sequence[str]) -
 
     def ranks(v):
         counts = pairs.groupBy("variable", v).agg(F.sum("n").alias("n"))
-        r = average_ranks(counts, v, "variable", bucket_edges(long, v, "variable"))
+        r = average_ranks(counts, v, "variable")
         # ranks have the known mean (N + 1) / 2
         return r.select("variable", v, (F.col("avg_rank") - (F.col("n_total") + 1) / 2).alias(f"r{v}"))
 

@@ -92,3 +92,22 @@ def patient_mart(
     )
     labels = persistence_labels(tables.pat_persistence).drop("capped_days_treatment")
     return final.join(labels, "p_id", "left")
+
+
+def mart_levels(tables: Tables, start: str) -> DataFrame:
+    """(p_id, family, level): every market molecule a patient filled, and the
+    molecule, pack size and strength of the index fill.
+
+    The dummies of the mart in long form: all levels of the data, any number of
+    them, a row for each one that is 1.
+    """
+    base = drop_early_market(tables.rx, start)
+    index = agg.index_date(base, start, variant="after_start")
+    needed = base.where("market = 1").select("p_id", "trans_date", "fcc", "mol1", "market")
+    rows = persist_stage(needed.join(index, "p_id"))
+    pack = index_pack_lookup(rows, tables.product_dict)
+    molecules = rows.select("p_id", F.lit("market_molecule").alias("family"), F.col("mol1").alias("level")).distinct()
+    families = {"start_molecule": "mol1", "pack_size": "pack_size", "strength": "str_unit"}
+    values = F.array(*(F.struct(F.lit(k).alias("family"), F.col(c).cast("string").alias("level")) for k, c in families.items()))
+    first = pack.select("p_id", F.inline(values))
+    return molecules.unionByName(first).where(F.col("level").isNotNull())

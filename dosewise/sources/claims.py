@@ -186,10 +186,19 @@ class Tables:
             F.try_divide(F.col("value"), F.col("value") + 20).alias("score"),
         )
 
-    def features(self, width: int) -> DataFrame:
-        """Numeric covariates x0.. and a binary response per embedding row."""
+    @cached_property
+    def width(self) -> int:
+        """Entries of the longest embedding."""
+        return self.read("embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+
+    @property
+    def covariates(self) -> list[str]:
+        return [f"x{i}" for i in range(self.width)]
+
+    def features(self) -> DataFrame:
+        """All numeric covariates x0.. and a binary response per embedding row."""
         return self.read("embeddings").select(
             F.col("vec_id").alias("id"),
             (F.col("label") % 2).cast("int").alias("response"),
-            *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)],
+            *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(self.width)],
         )

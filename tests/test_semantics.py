@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosewise.functions import at_most, below, blank_to_null, parse_date_int, parse_number
-from dosewise.functions.ranks import average_ranks, bucket_edges, hash_row_number, order_statistics, value_counts
+from dosewise.functions.ranks import average_ranks, hash_row_number, order_statistics, value_counts
 from dosewise.operators import adherence as adh
 from dosewise.operators import aggregate as agg
 from dosewise.operators import compare, derive, joins, profiles, reshape, split, stats
@@ -58,14 +58,15 @@ def test_percentile_definition_5(spark, n, p5):
     assert got == p5
 
 
-def test_order_statistics_with_buckets_and_groups(spark):
+@pytest.mark.parametrize("per_bucket", [1_000_000, 100, 3])
+def test_order_statistics_with_buckets_and_groups(spark, per_bucket):
     rng = random.Random(5)
     # a third of one group is a single value, the other values are heavy-tailed
     data = [("a", 7.0)] * 300 + [("a", round(rng.paretovariate(1), 3)) for _ in range(600)]
     data += [("b", float(rng.randrange(40))) for _ in range(501)] + [("c", 1.0)]
     df = spark.createDataFrame(data, "g string, x double")
     counts = value_counts(df, "x", ["g"])
-    got = order_statistics(counts, "x", [5, 50, 95], "g", bucket_edges(df, "x", "g", 16)).collect()
+    got = order_statistics(counts, "x", [5, 50, 95], "g", per_bucket=per_bucket, ways=4).collect()
     for r in got:
         mine = [x for g, x in data if g == r["g"]]
         for p in (5, 50, 95):
@@ -76,7 +77,7 @@ def test_order_statistics_with_buckets_and_groups(spark):
 def test_average_ranks_with_ties(spark):
     values = [3.0, 1.0, 3.0, 3.0, 2.0, 5.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = {r["x"]: r["avg_rank"] for r in average_ranks(value_counts(df, "x"), "x", edges=bucket_edges(df, "x")).collect()}
+    got = {r["x"]: r["avg_rank"] for r in average_ranks(value_counts(df, "x"), "x", per_bucket=2, ways=2).collect()}
     assert got == {1.0: 1.0, 2.0: 2.0, 3.0: 4.0, 5.0: 6.0}
 
 
@@ -340,3 +341,30 @@ def test_age_bands_are_closed_on_the_right(spark):
 def test_pivot_names_have_no_blanks(spark):
     df = spark.createDataFrame([(1, "4 ATC3", 0.5)], "p_id int, c string, v double")
     assert reshape.pivot_wide(df, "p_id", "c", "v", ["4 ATC3"], "pro_").columns == ["p_id", "pro_4_ATC3"]
+
+
+def test_auc_of_more_rows_than_a_product_of_longs_holds(spark, monkeypatch):
+    """Weighted counts stand for more rows than a test can hold."""
+    from dosewise.operators import stats
+
+    monkeypatch.setattr(stats, "average_ranks", lambda counts, *a: spark.createDataFrame(
+        [(0.1, 4_000_000_000, 1_000_000_000, 2_000_000_000.5), (0.9, 4_000_000_000, 3_000_000_000, 6_000_000_000.5)],
+        "score double, n long, n_pos long, avg_rank double",
+    ))
+    rows = spark.createDataFrame([(1, 0.5)], "response int, score double")
+    assert stats.auc_exact(rows).first()["auc"] == pytest.approx(0.75)
+
+
+def test_winsorize_with_many_values(spark):
+    from dosewise.operators.adherence import winsorize
+
+    df = spark.range(1, 101).select(F.col("id").cast("double").alias("x"))
+    got = winsorize(df, "x").agg(F.min("x"), F.max("x")).first()
+    assert tuple(got) == (5.5, 95.5)
+
+
+def test_missing_covariates_are_an_error(spark):
+    from dosewise.plans.modelling import prepare
+
+    with pytest.raises(ValueError):
+        prepare(spark.createDataFrame([(1, 0, 1.0)], "p_id long, y int, a double"), ["a", "nowhere"], "y")
