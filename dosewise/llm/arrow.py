@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked off at once in a Python worker.
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 
 def portions(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = PORTION) -> Iterator[pa.RecordBatch]:

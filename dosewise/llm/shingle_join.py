@@ -12,8 +12,10 @@ of at least THRESHOLD. Equal sets are one class. The classes then go through:
    fall in the same of g hash groups, so pairs of frequent shingles of a group
    are the entries. g grows with the size class, so the pairs of a set stay
    within a few times its size.
-3. Verification, sparing what is known: each class first meets the hub of its
-   entries, then only members of different components meet, all of them.
+3. Verification, sparing what is known: each class first meets, HUB_TURNS times,
+   the nearest hub of its entries, then only members of different components
+   meet, all of them. A pair whose sets must differ too much by the parity
+   bitmaps of their shingles is settled without comparing the sets.
 
 No candidate is dropped and no group gathered: an entry with very many members
 ties them to one hub, and its other pairs are only made across components.
@@ -21,7 +23,7 @@ ties them to one hub, and its other pairs are only made across components.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: A shingle in more classes than this counts as frequent.
 RARE = 64
+#: Longs of a parity bitmap, and rounds with hubs.
+LONGS, HUB_TURNS = 8, 3
+BITMAP = [f"bits{i}" for i in range(LONGS)]
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -130,6 +135,13 @@ def _hits(doc: pa.Array, hit: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "hits"])
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * LONGS hash values, whether an odd number of shingles has it.
+    Two bitmaps differ in no more bits than their sets do in shingles."""
+    odd = np.bincount((mix(s) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _wanted_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in portions(batches):
         cid = part.column("cid").to_pylist()
@@ -139,8 +151,9 @@ def _wanted_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([c for c, _ in rows], pa.int64()),
                 pa.array([len(s) for _, s in rows], pa.int64()),
                 pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64())),
+                *(pa.array(x, pa.int64()) for x in np.array([_bitmap(s) for _, s in rows], np.int64).reshape(-1, LONGS).T),
             ],
-            ["cid", "n", "tokens"],
+            ["cid", "n", "tokens", *BITMAP],
         )
 
 
@@ -187,16 +200,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the (a, b) pairs that link, their shingles compared in full."""
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(
-        (F.col("na") * DENOMINATOR >= F.col("nb") * NUMERATOR) & (F.col("nb") * DENOMINATOR >= F.col("na") * NUMERATOR)
-    )
     both = F.size(F.array_intersect("ta", "tb"))
-    return (
-        sized.join(left.drop("na"), "a")
-        .join(right.drop("nb"), "b")
-        .where(both * DENOMINATOR >= (F.col("na") + F.col("nb") - both) * NUMERATOR)
-        .select("a", "b")
-    )
+    linked = both * DENOMINATOR >= (F.col("na") + F.col("nb") - both) * NUMERATOR
+    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
 def _labelled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -204,46 +210,47 @@ def _labelled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         rows = entries.withColumn("label", F.col("cid"))
     else:
-        parts = stage(connected_components(links)).select(F.col("node").alias("cid"), F.col("component").alias("label"))
+        parts = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
         rows = entries.join(parts, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     rows = stage(rows)
     live = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     return stage(rows.join(live.select("entry"), "entry"))
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _apart(other: Callable[[str], Column]) -> Column:
+    """Bits in which the bitmaps of a row and the other differ."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(other(x))) for x in BITMAP[1:]), F.bit_count(F.col("bits0").bitwiseXOR(other("bits0"))))
+
+
+def _may_link(n: Column, apart: Column) -> Column:
+    """Sets that link differ in (1 - t) / (1 + t) of their sizes' sum at most."""
+    own, few, many = F.col("n"), DENOMINATOR - NUMERATOR, DENOMINATOR + NUMERATOR
+    return (own * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= own * NUMERATOR) & (apart * many <= (own + n) * few)
 
 
 def _links(entries: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links that connect all classes which linked pairs connect."""
-    links, tested, rows, turn = None, None, _labelled(entries, None), 0
-    while True:
-        found = rows.groupBy("entry", "label").agg(F.count("*").alias("m")).groupBy("entry").agg(
-            F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("within")
-        ).agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("across")).first()
-        if not found["n"]:
-            return links
-        last = found["across"] <= 4 * found["n"] or turn >= 6
-        if last:  # all pairs of different components
-            other = rows.select("entry", F.col("cid").alias("other"), F.col("label").alias("its"))
-            pairs = rows.join(other, "entry").where("label < its").select(*_ordered("cid", "other")).distinct()
-        else:  # each class with the hub that most of its entries have
-            order = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "label")
-            hubs = rows.groupBy("entry").agg(F.min(order).alias("hub"))
-            meets = rows.join(hubs, "entry").where("label <> hub.label")
-            votes = meets.groupBy("cid", F.col("hub.cid").alias("hub")).agg(F.count("*").alias("v"))
-            best = votes.groupBy("cid").agg(F.max_by("hub", F.struct("v", "hub")).alias("hub"))
-            pairs = best.select(*_ordered("cid", "hub")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
+    links, rows = None, _labelled(entries, None)
+    for turn in range(HUB_TURNS + 1):
+        if rows.isEmpty():
+            break
+        if turn < HUB_TURNS:  # each class with the nearest of the hubs of its entries
+            hub = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "label", "n", *BITMAP)
+            meets = rows.join(rows.groupBy("entry").agg(F.min(hub).alias("hub")), "entry").where("label <> hub.label")
+            apart = _apart(lambda x: F.col(f"hub.{x}"))
+            near = meets.where(_may_link(F.col("hub.n"), apart)).select("cid", F.struct(apart.alias("apart"), "hub.cid").alias("hub"))
+            pairs = near.groupBy("cid").agg(F.min("hub").alias("hub")).select("cid", F.col("hub.cid").alias("other"))
+        else:  # all pairs of different components
+            names = {"cid": "other", "label": "its", "n": "m"} | {x: f"other_{x}" for x in BITMAP}
+            others = rows.select("entry", *(F.col(a).alias(b) for a, b in names.items()))
+            may = _may_link(F.col("m"), _apart(lambda x: F.col(f"other_{x}")))
+            pairs = rows.join(others, (rows["entry"] == others["entry"]) & (F.col("label") < F.col("its")) & may).select("cid", "other")
+        pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
         good = stage(_verified(pairs, sets))
-        tested = pairs if tested is None else tested.union(pairs)
         links = good if links is None else links.union(good)
-        if last:
-            return links
-        rows, turn = _labelled(rows.drop("label"), links), turn + 1
+        if turn < HUB_TURNS:
+            rows = _labelled(rows.drop("label"), links)
+    return links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -274,7 +281,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         classes.join(hits.withColumnRenamed("doc_id", "rep"), "rep").where(F.col("hits") * 32 >= F.col("n") * 3)
         .select(F.col("rep").alias("doc_id"), "cid")
     )
-    sets = known.join(wanted, "doc_id").select("cid", "text").mapInArrow(_wanted_sets, "cid long, n long, tokens array<long>")
+    sets = known.join(wanted.hint("merge"), "doc_id").select("cid", "text").mapInArrow(
+        _wanted_sets, f"cid long, n long, tokens array<long>, {', '.join(f'{x} long' for x in BITMAP)}"
+    )
     repeats = described.groupBy("doc_id").count().where("count > 1").limit(1).count()
     sets = stage(sets.dropDuplicates(["cid"]) if repeats else sets)
     singles = sets.select("cid", "n", F.explode("tokens").alias("token"))
@@ -284,7 +293,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x")
         ).select("cid", "n", F.col("x.df").alias("dfs"), F.col("x.token").alias("tokens"))
     )
-    links = _links(stage(ranked.mapInArrow(_entries, "entry long, cid long")), sets)
+    entries = ranked.mapInArrow(_entries, "entry long, cid long").join(sets.select("cid", "n", *BITMAP), "cid")
+    links = _links(entries, sets)
     named = classes.select("cid", F.col("rep").alias("component_id"))
     if links is not None:
         parts = stage(connected_components(links)).select(F.col("node").alias("cid"), "component")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked off at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 #: Odd multipliers of the rolling hashes.
 BYTE_BASE = 0x9E3779B97F4A7C15
