@@ -160,3 +160,19 @@ def test_document_score_is_the_sum_over_its_words():
     slots, first = pseudo_likelihood._slots(batch)
     each = pseudo_likelihood.log_probabilities(weights, id_of[slots], pseudo_likelihood.contexts(id_of[slots], first))
     assert got["log_likelihood"] == pytest.approx([each[:5].sum(), each[5]])
+
+
+@pytest.mark.parametrize("known", [1 << 18, 1000])
+def test_probabilities_of_all_words_sum_to_one(spark, monkeypatch, known):
+    """Texts of one word have the same words around, so their scores are one distribution over the words."""
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", known)
+    texts = [f"w{i}" for i in range(3000) for _ in range(1 + (i % 7 == 0) * 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {texts[r["doc_id"]]: r["log_likelihood"] for r in pseudo_likelihood.score(docs).collect()}
+    assert len(got) == 3000 and np.exp(list(got.values())).sum() == pytest.approx(1, rel=1e-4)
+    names = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(docs))
+    assert len(names.hashes) == min(known, 3000) or known == 1000 and 950 < len(names.hashes) <= 1050
+
+
+def test_ids_grow_with_the_corpus():
+    assert pseudo_likelihood.side_of(10**6) == 32 < pseudo_likelihood.side_of(10**8) < pseudo_likelihood.side_of(10**10)
