@@ -383,6 +383,22 @@ def yearly_correlation(t, c):
     return both.groupBy("measure").agg(tidy(F.try_divide(cov, spread)).alias("corr_years"))
 
 
+@query(
+    "yearly_correlation_all",
+    " union all ".join(
+        f"select '{m}' as measure, a.year as year, b.year as later_year, round(corr(a.{m}, b.{m}),6) as corr_years "
+        "from ya a join ya b on a.p_id=b.p_id and a.year<b.year group by a.year, b.year"
+        for m in agg.YEARLY_MEASURES
+    ),
+    "ya as (select p_id, transactiondate//10000 as year, count(*) as cnt_tx, "
+    + ", ".join(f"count(distinct {c}) as {n}" for n, c in agg.DISTINCT_COUNTS.items())
+    + ", avg(doc_gender) as mean_doc_gender, avg(rsp*units) as mean_spending, sum(rsp*units) as sum_spending from base where market=0 group by 1,2)",
+)
+def yearly_correlation_all(t, c):
+    """Correlation of all measures between every two years."""
+    return rounded(agg.yearly_correlation(c.base.where(F.col("market") == 0)), ["corr_years"])
+
+
 # ---- keys and shares within groups ---------------------------------------------------------------
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from dosewise.functions import at_most, known
 from dosewise.operators.derive import COST_NAMES, THERAPIES, UNKNOWN_GENDER, clean_name, specialty_group
 from dosewise.operators.joins import anti_join, attach_scalars, enrich_left, first_per_key, with_group_values
+from dosewise.operators.stats import per_column
+from dosewise.session import stage
 
 
 # ---- index date and first fills -------------------------------------------------
@@ -429,6 +431,31 @@ def yearly_utilisation(rows: DataFrame) -> DataFrame:
     ).select("p_id", "year", "cnt_tx", *DISTINCT_COUNTS, "sum_spending")
 
 
+#: Measures whose correlation from year to year is looked at.
+YEARLY_MEASURES = ("cnt_tx", *DISTINCT_COUNTS, "mean_doc_gender", "mean_spending", "sum_spending")
+
+
+def yearly_correlation(rows: DataFrame) -> DataFrame:
+    """(measure, year, later_year, corr_years): each measure between every two
+    years, over the patients with claims in both."""
+    more = rows.withColumn("year", F.floor(F.col("transactiondate") / 10000).cast("int"))
+    means = {"mean_doc_gender": F.avg("doc_gender"), "mean_spending": F.avg(F.col("rsp") * F.col("units"))}
+    means = more.groupBy("p_id", "year").agg(*[c.alias(n) for n, c in means.items()])
+    years = stage(yearly_utilisation(rows).join(means, ["p_id", "year"]))
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    first = years.select("p_id", "year", *[number(c, f"{c}_a") for c in YEARLY_MEASURES])
+    later = years.select("p_id", F.col("year").alias("later_year"), *[number(c, f"{c}_b") for c in YEARLY_MEASURES])
+    both = first.join(later, "p_id").where(F.col("year") < F.col("later_year"))
+
+    def corr(c):
+        a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
+        known_both = a.isNotNull() & b.isNotNull()
+        spread = F.stddev_pop(F.when(known_both, a)) * F.stddev_pop(F.when(known_both, b))
+        return F.try_divide(F.covar_pop(a, b), spread)
+
+    return per_column(both, YEARLY_MEASURES, {"corr_years": corr}, ["year", "later_year"]).withColumnRenamed("variable", "measure")
+
+
 def rare_products(rows: DataFrame, limit: int) -> DataFrame:
     """Products used by at most ``limit`` patients."""
     return (

@@ -9,6 +9,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from dosewise.functions import at_most, below, blank_to_null, parse_date_int, parse_number
 from dosewise.functions.ranks import average_ranks, hash_row_number, order_statistics, value_counts
 from dosewise.operators import adherence as adh
@@ -368,3 +369,10 @@ def test_missing_covariates_are_an_error(spark):
 
     with pytest.raises(ValueError):
         prepare(spark.createDataFrame([(1, 0, 1.0)], "p_id long, y int, a double"), ["a", "nowhere"], "y")
+
+
+def test_yearly_correlation_takes_all_years_and_measures(spark):
+    got = queries()["yearly_correlation_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["measure"] for r in got} == set(agg.YEARLY_MEASURES) and len(agg.YEARLY_MEASURES) == 11
+    assert {(r["year"], r["later_year"]) for r in got} == {(a, b) for a in range(1995, 2002) for b in range(a + 1, 2002)}
+    assert len(got) == 11 * 21
