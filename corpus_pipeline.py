@@ -35,11 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each group stays; of repeated rows one.
     Documents without id are compared with none and stay."""
     tune(spark)
-    parts = jaccard_components(docs)
+    parts = jaccard_components(docs, keyed=True)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     docs = docs.dropDuplicates() if repeated else docs
-    gone = stage(parts.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stage(parts.where("component_id <> doc_id").select("doc_id", "text_key").distinct())
+    key = (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["text_key"])
+    return docs.join(gone.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,8 @@ def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [(len(s), _set_hash(s)) for s in shingle_sets(part)]
         n, h = zip(*sets, strict=True)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h, pa.int64())], ["doc_id", "n_shingles", "cid"]
+            [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(h, pa.int64())],
+            ["doc_id", "text_key", "n_shingles", "cid"],
         )
 
 
@@ -253,17 +254,20 @@ def _links(entries: DataFrame, sets: DataFrame) -> DataFrame | None:
     return links
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable over links, the own one
     included. Null, empty and blank texts have an empty set and link with
     nothing. Repeated rows give repeated results; rows that repeat a doc_id with
     another text are compared each on its own. Rows without doc_id are never
-    linked and have no component. Other columns are ignored.
+    linked and have no component. Other columns are ignored. keyed adds text_key,
+    the xxhash64 of the text, which tells such rows apart.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stage(docs.mapInArrow(_describe, "doc_id long, n_shingles long, cid long"))
+    described = stage(
+        docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, text_key long, n_shingles long, cid long")
+    )
     classes = stage(
         described.where("n_shingles > 0 and doc_id is not null").groupBy("cid").agg(
             F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")
@@ -303,7 +307,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         tied = tied.join(least, "component").select("cid", "least")
         named = named.join(tied, "cid", "left").select("cid", F.coalesce("least", "component_id").alias("component_id"))
     known_rows = described.where("doc_id is not null and n_shingles > 0")
+    key = ["text_key"] if keyed else []
     rest = described.where("doc_id is null or n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", *key, "n_shingles", F.col("doc_id").alias("component_id")
     )
-    return known_rows.join(stage(named), "cid").select("doc_id", "n_shingles", "component_id").unionByName(rest)
+    return known_rows.join(stage(named), "cid").select("doc_id", *key, "n_shingles", "component_id").unionByName(rest)

@@ -53,3 +53,12 @@ def test_stages_on_an_empty_table(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_another_text_of_a_repeated_id_stays(spark):
+    """Of two rows with one id only the one that links to an earlier document goes."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, text), (7, text + " more"), (7, " ".join(f"other{i}" for i in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == {rows[0], rows[2]}
