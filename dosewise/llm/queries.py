@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dosewise.llm.alignment import align
 from dosewise.llm.decontaminate import contamination
 from dosewise.llm.id_files import read_ids, write_ids
 from dosewise.llm.language_id import fit, is_held_out, predict
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Tokens that a model reads at once.
 CONTEXT = 1024
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -113,3 +115,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(x) for x in (TOKENIZER, PIECES))
+    return align(_table(spark, sf_dir, "documents"), *paths).documents.drop("groups")
