@@ -85,6 +85,16 @@ reach as (select vec_id, vec_id as c from embeddings union select l.b, reach.c f
 select vec_id, coalesce(max(n.n), 0)::bigint as n_links, min(c) as component_id, vec_id = min(c) as kept from reach left join n using (vec_id) group by vec_id
 """
 
+#: Base32 by five bits of the hash at a time.
+WARC = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, body, octet_length(body) as n, from_hex(sha1(body))::bit::varchar as bits from p),
+g as (select *, min(page_id) over (partition by body) as first from d)
+select page_id, n::bigint as payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum([cast(substr(bits, 5 * i + j + 1, 1) as integer) * (1 << (4 - j)) for j in range(5)])::integer, 1) for i in range(32)], '') as payload_digest,
+ case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to from g
+"""
+
 #: Query -> SQL. The others need the tokenizer, a trained model or Spark's shuffle.
 ORACLES = {
     "op2_mixing": MIXING,
@@ -92,4 +102,5 @@ ORACLES = {
     "op5_vector_dedup": VECTORS,
     "op9_substring_dedup": SUBSTRINGS,
     "op10_jaccard_join": JACCARD,
+    "op11_warc": WARC,
 }

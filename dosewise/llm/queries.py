@@ -20,6 +20,7 @@ from dosewise.llm.shingle_join import jaccard_components
 from dosewise.llm.substring_dedup import remove_repeats
 from dosewise.llm.token_counts import token_counts
 from dosewise.llm.vector_dedup import vector_links
+from dosewise.llm.warc import read_bundles, write_bundles
 from dosewise.session import scratch_dir, tune
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -117,6 +118,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(tune(spark))
+    write_bundles(_table(spark, sf_dir, "pages"), path)
+    records = read_bundles(spark, path, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(x) for x in (TOKENIZER, PIECES))
