@@ -95,6 +95,19 @@ select page_id, n::bigint as payload_bytes,
  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to from g
 """
 
+PHRASES = f"""
+with p as (select coalesce(lang, 'und') as lang, row_number() over () as d, unnest(regexp_split_to_array({_FOLD.format('text')}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+f as (select lang, x, len(x) as m, count(*)::bigint as f from (select lang, unnest([ws[i:i+m-1] for i in range(1, len(ws) - m + 2)]) as x from w, range(1, 6) r(m) where len(ws) >= m) group by lang, x having count(*) >= 100),
+inner_ as (select distinct g.lang, unnest([g.x[1:g.m-1], g.x[2:g.m]]) as x, g.f from f g where g.m > 2),
+c as (select f.* from f left join (select lang, x, max(f) as most from inner_ group by lang, x) i using (lang, x) where m > 1 and (most is null or 100 * most < 100 * f.f)),
+cuts as (select c.lang, c.x, c.f as a, k, l.f as l, r.f as r, n.n, cast((1000::hugeint * c.f * n.n) // (l.f::hugeint * r.f) as bigint) as score from c, range(1, 5) t(k), f l, f r, n
+ where k < c.m and l.lang = c.lang and r.lang = c.lang and n.lang = c.lang and l.x = c.x[1:k] and r.x = c.x[k+1:c.m]),
+best as (select lang, array_to_string(x, ' ') as phrase, a, l, r, n, score from cuts qualify row_number() over (partition by lang, x order by score, k) = 1)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best) where rank <= 2000
+"""
+
 #: Query -> SQL. The others need the tokenizer, a trained model or Spark's shuffle.
 ORACLES = {
     "op2_mixing": MIXING,
@@ -103,4 +116,5 @@ ORACLES = {
     "op9_substring_dedup": SUBSTRINGS,
     "op10_jaccard_join": JACCARD,
     "op11_warc": WARC,
+    "op12_collocations": PHRASES,
 }

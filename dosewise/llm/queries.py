@@ -14,6 +14,7 @@ from dosewise.llm.id_files import read_ids, write_ids
 from dosewise.llm.language_id import fit, is_held_out, predict
 from dosewise.llm.mixing import mixture
 from dosewise.llm.oracles import ORACLES
+from dosewise.llm.phrases import collocations
 from dosewise.llm.pseudo_likelihood import score
 from dosewise.llm.sharding import record_size, write_shards
 from dosewise.llm.shingle_join import jaccard_components
@@ -126,6 +127,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(x) for x in (TOKENIZER, PIECES))
