@@ -48,6 +48,12 @@ def auc_exact(rows: DataFrame, by: str | None = None, response: str = "response"
     counts = usable.groupBy(*keys, score).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(response) == 1).alias("n_pos")
     )
+    return auc_of_counts(counts, by, score)
+
+
+def auc_of_counts(counts: DataFrame, by: str | None = None, score: str = "score") -> DataFrame:
+    """The same from rows and positives (n, n_pos) of each distinct score."""
+    keys = [by] if by else []
     ranks = average_ranks(counts, score, by)
     # as doubles: the products of counts leave the range of long
     pos, total = F.sum("n_pos").cast("double"), F.sum("n").cast("double")
