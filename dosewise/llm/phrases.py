@@ -4,15 +4,18 @@ R1 holds the occurrences of words, sorted by piece and position: a portion of
 texts a row, the words as numbers of a dictionary of its own, breaks between
 pieces. From each length to the next
 
-1. occurrences are counted in their portion, then over all by a shuffled
-   aggregate, which gives every frequent phrase an id;
+1. occurrences are counted in their portion, then over all after a shuffle by
+   phrase, which gives every frequent phrase an id;
 2. the ids go back to the portions that have the phrase (the semi-join), and
    occurrences of other phrases leave the relation;
 3. occurrences at adjacent positions of a piece merge to one of a longer phrase,
    named by the ids of its first and last words but one: no text is compared.
 
-Rows that travel are distinct phrases of a portion, not occurrences. Ids stand
-for exact words; only inside a portion are words told apart by 64-bit hashes.
+What travels are the distinct phrases of a portion, not occurrences, and from
+two words on packed: the pairs of ids of one hash bucket, sorted, in one row.
+There are as many buckets as the occurrences need, so a bucket fits into a task.
+Ids stand for exact words; only inside a portion are words told apart by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ LONGEST, LEAST, BEST = 5, 100, 2000
 SHARE = 100
 #: Bytes of text and words in a portion; a portion ends between pieces.
 TEXT, WORDS = 8 << 20, 1 << 20
+#: Occurrences for which a bucket of phrases is added; it holds no more distinct phrases of portions.
+PER_BUCKET = 2 << 20
 
 #: Ends of pieces: . , ; : ! ? and line feed to carriage return. Words also end at blank and tab.
 _PIECE_ENDS = [*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D)]
@@ -81,7 +87,7 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += a
             text = [data[x:y].lower().decode() for x, y in zip(w.begin[at].tolist(), w.end[at].tolist(), strict=True)]
             relation = _runs(local.astype(np.uint32), last[a:b])
-            yield _batch(portion, relation.tobytes(), [names[i] for i in lang[at].tolist()], text, np.arange(len(at), dtype=np.int32), n)
+            yield _batch(portion, squeeze(relation), [names[i] for i in lang[at].tolist()], text, np.arange(len(at), dtype=np.int32), n)
             portion += 1
 
 
@@ -96,59 +102,110 @@ def _batch(portion: int, relation: bytes | None, lang: list[str], word: list[str
     )
 
 
-_NEXT = "portion long, relation binary, head long, tail long, local int, n long"
+_NEXT = "portion long, relation binary, bucket int, start int, head binary, tail binary, n binary"
+_COUNTED = "id long, head long, tail long, f long, portion long, local binary, ids binary"
 
 
-def extend(relation: np.ndarray, local: np.ndarray, ids: np.ndarray, further: bool = True) -> tuple[np.ndarray, ...]:
+def squeeze(values: np.ndarray) -> bytes:
+    """Bytes of an array, those of equal weight together, compressed."""
+    width = values.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
+
+
+def extend(relation: np.ndarray, local: np.ndarray, ids: np.ndarray, further: bool = True, buckets: int = 1) -> tuple[np.ndarray, ...]:
     """Semi-join and merge-join of a portion's relation.
 
     relation: numbers of phrases in order, with breaks. local: the frequent of
     them, ids: their ids. Returns the relation of phrases a word longer (empty
     if it is not needed further) and, for each of its numbers, the ids of the
-    first and last words but one and the occurrences.
+    first and last words but one, the occurrences, and the bucket, in the order
+    of which they are numbered.
     """
     kept = np.zeros(max(int(relation[relation != BREAK].max(initial=0)), int(local.max(initial=0))) + 2, bool)
     kept[local] = True
     here = kept[np.where(relation == BREAK, len(kept) - 1, relation)]
-    both = here[:-1] & here[1:]
-    at = np.flatnonzero(both)
+    at = np.flatnonzero(here[:-1] & here[1:])
     key = relation[at].astype(np.uint64) << np.uint64(32) | relation[at + 1].astype(np.uint64)
     new, number, n = np.unique(key, return_inverse=True, return_counts=True)
     id_of = np.zeros(len(kept), np.int64)
     id_of[local] = ids
     head, tail = id_of[(new >> np.uint64(32)).astype(np.int64)], id_of[(new & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    bucket = (mix(head.view(np.uint64) * np.uint64(SECOND_BASE) + tail.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((tail, head, bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     last = np.concatenate([np.diff(at) > 1, [True]]) if len(at) else np.zeros(0, bool)
-    longer = _runs(number.astype(np.uint32), last) if further else np.zeros(0, np.uint32)
-    return longer, head, tail, n
+    longer = _runs(place[number].astype(np.uint32), last) if further else np.zeros(0, np.uint32)
+    return longer, head[order], tail[order], n[order], bucket[order]
 
 
-def _extended(occurrences: DataFrame, found: DataFrame, further: bool) -> DataFrame:
-    """Relations (place, relation) and their frequent phrases (portion, local, id) -> the next."""
+def _extended(occurrences: DataFrame, found: DataFrame, further: bool, buckets: int) -> DataFrame:
+    """Relations (place, relation) and their frequent phrases -> the next: a row with
+    the relation, and one with the phrases of each bucket."""
 
     def extended(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.schema([("portion", pa.int64()), *_NEXT_FIELDS]).empty_table()
-        relation = np.frombuffer(left.column("relation")[0].as_py(), np.uint32)
-        local, ids = (right.column(x).to_numpy().astype(np.int64) for x in ("local", "id"))
-        longer, head, tail, n = extend(relation, local, ids, further)
-        rows = len(n)
-        no = lambda x, kind: pa.array(np.concatenate([[0], x]).astype(kind), mask=np.arange(rows + 1) == 0)
-        return pa.table(
-            [
-                pa.array(np.full(rows + 1, left.column("place")[0].as_py())), pa.array([longer.tobytes(), *[None] * rows], pa.binary()),
-                no(head, np.int64), no(tail, np.int64), no(np.arange(rows), np.int32), no(n, np.int64),
-            ],
-            ["portion", *(x for x, _ in _NEXT_FIELDS)],
-        )
+        rows: list[tuple] = []
+        if left.num_rows:
+            portion = left.column("place")[0].as_py()
+            packed = right.column("ids").type == pa.binary()
+            whole = lambda name, kind: (
+                np.concatenate([np.zeros(0, kind), *(expand(x, kind) for x in right.column(name).to_pylist())])
+                if packed else right.column(name).to_numpy().astype(kind)
+            )
+            relation = expand(left.column("relation")[0].as_py(), np.uint32)
+            longer, head, tail, n, bucket = extend(relation, whole("local", np.uint32).astype(np.int64), whole("ids", np.int64), further, buckets)
+            rows.append((portion, squeeze(longer), None, None, None, None, None))
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                parts = (squeeze(np.diff(head[a:b], prepend=0)), squeeze(tail[a:b]), squeeze(n[a:b].astype(np.uint32)))
+                rows.append((portion, None, int(bucket[a]), a, *parts))
+        return _table(rows, _NEXT)
 
     return occurrences.groupBy("place").cogroup(found.groupBy("portion")).applyInArrow(extended, _NEXT)
 
 
-_NEXT_FIELDS = [("relation", pa.binary()), ("head", pa.int64()), ("tail", pa.int64()), ("local", pa.int32()), ("n", pa.int64())]
-
-
-def _numbered(phrases: DataFrame) -> DataFrame:
-    return stage(phrases.withColumn("id", F.monotonically_increasing_id()))
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def _counted(phrases: DataFrame, least: int) -> DataFrame:
+    """Group-count of packed phrases: a row (id, head, tail, f) for each frequent
+    one, and for each portion's row (portion, local, ids) which of its phrases these are."""
+
+    def counted(rows: pa.Table) -> pa.Table:
+        heads = [np.cumsum(expand(x, np.int64)) for x in rows.column("head").to_pylist()]
+        size = np.array([len(x) for x in heads])
+        head = np.concatenate(heads)
+        tail = np.concatenate([expand(x, np.int64) for x in rows.column("tail").to_pylist()])
+        n = np.concatenate([expand(x, np.uint32) for x in rows.column("n").to_pylist()]).astype(np.int64)
+        order = np.lexsort((tail, head))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(head[order]) != 0) | (np.diff(tail[order]) != 0)
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(n[order], first)
+        often = f >= least
+        ids = (rows.column("bucket")[0].as_py() << 32) + np.cumsum(often) - 1
+        own = order[first[often]]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        out = [(*x, None, None, None) for x in zip(ids[often].tolist(), head[own].tolist(), tail[own].tolist(), f[often].tolist(), strict=True)]
+        ends = np.cumsum(size)
+        for portion, start, a, b in zip(rows.column("portion").to_pylist(), rows.column("start").to_pylist(), ends - size, ends, strict=True):
+            mine = number[a:b]
+            hits = np.flatnonzero(often[mine])
+            if len(hits):
+                out.append((None, None, None, None, portion, squeeze((hits + start).astype(np.uint32)), squeeze(ids[mine[hits]])))
+        return _table(out, _COUNTED)
+
+    return phrases.groupBy("bucket").applyInArrow(counted, _COUNTED)
 
 
 def _described(counted: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -186,17 +243,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     seen = known.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     none = F.array().cast("array<long>")
     word = F.col("word")
-    levels = [_numbered(seen.select("lang", word.alias("phrase"), word.alias("last"), "f", none.alias("heads"), none.alias("tails")))]
-    ids = levels[0].select("lang", F.col("phrase").alias("word"), "id")
-    key = ["lang", "word"]
+    first = seen.select("lang", word.alias("phrase"), word.alias("last"), "f", none.alias("heads"), none.alias("tails"))
+    levels = [stage(first.withColumn("id", F.monotonically_increasing_id()))]
+    ids = levels[0].select("lang", F.col("phrase").alias("word"), F.col("id").alias("ids"))
+    found = known.join(ids.hint("merge"), ["lang", "word"]).select("portion", "local", "ids")
     for length in range(2, longest + 1):
-        found = known.join(ids.hint("merge"), key).select("portion", "local", "id")
+        most = levels[-1].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         relations = now.where("relation is not null").select(F.col("portion").alias("place"), "relation")
-        now = stage(_extended(relations, found, length < longest))
-        known, key = now.where("local is not null"), ["head", "tail"]
-        counted = _numbered(known.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        levels.append(stage(_described(counted, levels[-1])))
-        ids = counted.select(*key, "id")
+        now = stage(_extended(relations, found, length < longest, most // PER_BUCKET + 1))
+        counted = stage(_counted(now.where("bucket is not null"), least))
+        levels.append(stage(_described(counted.where("id is not null").select("id", "head", "tail", "f"), levels[-1])))
+        found = counted.where("portion is not null").select("portion", "local", "ids")
     return totals, levels
 
 

@@ -56,8 +56,10 @@ def documents(seed, n=120):
     return [(i, make(), rng.choice(["en", "en", "en", None, "fr", ""]), "w", 1, 2) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed,least,share", [(1, 3, 100), (2, 2, 60), (3, 5, 100)])
-def test_against_counting(spark, seed, least, share):
+@pytest.mark.parametrize("seed,least,share,room", [(1, 3, 100, 1 << 21), (2, 2, 60, 40), (3, 5, 100, 7)])
+def test_against_counting(spark, monkeypatch, seed, least, share, room):
+    """With one bucket of phrases and with many."""
+    monkeypatch.setattr(phrases, "PER_BUCKET", room)
     docs = documents(seed) + [(None, None, "en", None, None, None), (1, "", None, "w", 1, 1), *documents(seed, 5)]
     df = spark.createDataFrame(docs, SCHEMA).repartition(4)
     assert mined(df, least, 5, 40, share) == brute([(r[1], r[2]) for r in docs], least, 5, 40, share)
@@ -84,7 +86,8 @@ def test_extend_merges_adjacent_occurrences(numbers, frequent):
 
     relation = np.array([phrases.BREAK if x == 4 else x for x in numbers], np.uint32)
     local = np.array(sorted(frequent), np.int64)
-    longer, head, tail, n = phrases.extend(relation, local, local + 100)
+    longer, head, tail, n, bucket = phrases.extend(relation, local, local + 100, buckets=3)
+    assert bucket.tolist() == sorted(bucket.tolist())
     pairs = [(a, b) if {a, b} <= frequent else None for a, b in zip(numbers, numbers[1:], strict=False)]
     want = Counter(p for p in pairs if p)
     assert {(h - 100, t - 100): c for h, t, c in zip(head.tolist(), tail.tolist(), n.tolist(), strict=True)} == want
@@ -93,6 +96,15 @@ def test_extend_merges_adjacent_occurrences(numbers, frequent):
     assert runs(read) == runs(pairs)
 
 
+def test_squeezed_arrays_expand_again():
+    import numpy as np
+
+    for kind in (np.uint32, np.int64):
+        for values in ([], [0], [1, 2**31, 5], list(range(1000))):
+            a = np.array(values, kind)
+            assert phrases.expand(phrases.squeeze(a), kind).tolist() == values
+
+
 def test_products_beyond_64_bits(spark):
     """Scores of counts near 1e12 are exact, ties after flooring go to the first cut."""
     rows = [(10**12 + 7, 3 * 10**12 + 1, [2 * 10**12 + 1, 10**12 + 9], [3 * 10**12 - 1, 10**12 + 11])]
