@@ -15,7 +15,8 @@ from dosewise.plans.model_table import model_table
 from dosewise.plans.pdc import PdcSettings, build_pdc
 from dosewise.sources import persist_stage
 
-SETTINGS = PdcSettings(codes=CODES, rare_limit=5)
+# the rarest product goes, so that the step acts at every size
+SETTINGS = PdcSettings(codes=CODES, rare_limit=None)
 PERCENTS = (5, 10, 25, 50, 75, 90, 95)
 
 
@@ -105,9 +106,13 @@ def coverage_episodes(t, c):
     return rounded(out, ["episend", "days_covered", "cum_days_covered"])
 
 
-PDC_SQL = f"""{FILLS_SQL}, {CAPPED_SQL},
+RARE_SQL = """rare as (select prod from (select prod, n, min(n) over () as fewest from
+ (select prod, count(distinct p_id) as n from all_fills group by prod)) where n = fewest),
+fills as (select * from all_fills where prod not in (select prod from rare)),
+gaps as ("""
+PDC_SQL = f"""{FILLS_SQL.replace('fills as (', 'all_fills as (').replace('gaps as (', RARE_SQL, 1)}, {CAPPED_SQL},
 pfill as (select r.p_id, r.index_date, r.trans_date, substr(r.atc,1,4) as atc3, r.units, coalesce(k.median_duration, m.median_duration) as median_duration
- from (select * from indexed where trans_date<index_date and trans_date>=index_date-360 and substr(atc,1,4) in ('A02B','C07A','C09A','A10J')) r
+ from (select * from indexed where trans_date<index_date and trans_date>=index_date-360 and substr(atc,1,4) in ('A02B','C07A','C09A','A10J') and prod not in (select prod from rare)) r
  left join pack_cap k on r.fcc=k.fcc and r.prod=k.prod left join prod_cap m on r.prod=m.prod
  where coalesce(k.median_duration, m.median_duration) is not null)"""
 BY_CLASS_SQL = "bought as (select atc3, p_id, index_date, trans_date, sum(median_duration*units) as actual_duration from pfill group by all)"

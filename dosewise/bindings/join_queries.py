@@ -10,7 +10,7 @@ from dosewise.operators import joins
 from dosewise.operators.adherence import daily_duration, first_fill_lookback, median_gap_pack, median_gap_product
 from dosewise.operators.derive import atc_levels
 from dosewise.plans.cohort import FIRST_DAY, LAST_DAY
-from dosewise.sources import code_list_filter
+from dosewise.sources import code_list_filter, persist_stage
 
 CODES = "A02B C07A C09A A10J"
 
@@ -156,6 +156,6 @@ def first_match_lookup(t, c):
     FILLS_SQL,
 )
 def fallback_lookup(t, c):
-    f = fills(c)
+    f = persist_stage(fills(c))  # both medians read it
     rows = c.pre360.select("p_id", "fcc", "prod", "rx_id", "trans_date")
     return joins.fallback_lookup(rows, median_gap_pack(f), median_gap_product(f, dedup=True))

@@ -11,11 +11,6 @@ from dosewise.operators import split, stats
 from dosewise.sources import persist_stage
 
 SEEDS = (101, 202, 303)
-FEATURES_SQL = (
-    "ft as (select vec_id as id, cast(label%2 as int) as response, "
-    + ", ".join(f"cast(embedding[{i + 1}] as double) as x{i}" for i in range(8))
-    + " from embeddings)"
-)
 # every entry of the embeddings against every other
 ENTRIES_SQL = """w as (select max(len(embedding)) as w from embeddings),
  ii as (select unnest(range(w)) as i from w), jj as (select unnest(range(w)) as j from w)"""
@@ -128,30 +123,33 @@ def corr_matrix(t, c):
     return rounded(stats.corr_matrix(t.features(), t.covariates), ["corr"])
 
 
-_clones = (
-    "fc as (select x0, x1, x2, x0*2+1 as y0, -x1 as y1, x0+x1 as y2, 1.0e0 as k from ft)"
-)
-_fc = ["x0", "x1", "x2", "y0", "y1", "y2"]
+# every entry, a scaled copy and the negative of each, and the sum of each with the next
+PAIRS_SQL = """w as (select max(len(embedding)) as w from embeddings),
+ v as (select list_transform(embedding, lambda z: cast(z as double)) as x from embeddings where embedding is not null),
+ l as (select row_number() over () as row, list_concat(x, list_transform(x, lambda z: z*2+1), list_transform(x, lambda z: -z),
+  list_transform(range(1, len(x)), lambda k: x[k] + x[k+1])) as x from v),
+ lv as (select row, unnest(range(1, len(x)+1)) as i, unnest(x) as x from l),
+ names as (select list_concat(list_transform(range(w), lambda k: 'x' || k), list_transform(range(w), lambda k: 'y' || k),
+  list_transform(range(w), lambda k: 'z' || k), list_transform(range(w-1), lambda k: 's' || k)) as n from w),
+ r as (select a.i as i, b.i as j, corr(a.x, b.x) as r from lv a join lv b on a.row = b.row and a.i < b.i group by a.i, b.i)"""
 
 
 @query(
     "high_corr_pairs",
-    "select var1, var2, round(r,6) as corr, (abs(r)>=1-1e-9)::int as drop_second from ("
-    + " union all ".join(
-        f"select '{a}' as var1, '{b}' as var2, corr({a},{b}) as r from fc" for i, a in enumerate(_fc) for b in _fc[i + 1 :]
-    )
-    + ") where abs(r)>0.5e0",
-    f"{FEATURES_SQL}, {_clones}",
+    "select n[i] as var1, n[j] as var2, round(r,6) as corr, (abs(r)>=1-1e-9)::int as drop_second from r, names where abs(r)>0.5e0",
+    PAIRS_SQL,
 )
 def high_corr_pairs(t, c):
+    """All covariates and, of each, a scaled copy, the negative and the sum with the next."""
+    names = t.covariates
     rows = t.features().select(
-        "x0", "x1", "x2",
-        (F.col("x0") * 2 + 1).alias("y0"),
-        (-F.col("x1")).alias("y1"),
-        (F.col("x0") + F.col("x1")).alias("y2"),
+        *names,
+        *[(F.col(x) * 2 + 1).alias(f"y{i}") for i, x in enumerate(names)],
+        *[(-F.col(x)).alias(f"z{i}") for i, x in enumerate(names)],
+        *[(F.col(x) + F.col(y)).alias(f"s{i}") for i, (x, y) in enumerate(zip(names, names[1:], strict=False))],
         F.lit(1.0).alias("k"),
-    )
-    return rounded(stats.high_corr_pairs(rows, [*_fc, "k"]), ["corr"])
+    )
+    return rounded(stats.high_corr_pairs(rows, rows.columns), ["corr"])
 
 
 SURVEY_MEANS_SQL = """sm as (select p_id, avg(capped_days_treatment) as days, avg(c061) as c061, avg(c062) as c062, avg(c070) as c070 from base

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.functions import at_most, known
 from dosewise.operators.derive import COST_NAMES, THERAPIES, UNKNOWN_GENDER, clean_name, specialty_group
 from dosewise.operators.joins import anti_join, attach_scalars, enrich_left, first_per_key, with_group_values
-from dosewise.operators.stats import per_column
+from dosewise.operators.sums import SCHEMA, batch_of, tree_sums
 from dosewise.session import stage
 
 
@@ -85,8 +87,17 @@ DISTINCT_COUNTS = {
 }
 
 
+#: Columns of any number of values: a patient's distinct ones are counted after a
+#: shuffle by value. Those of the others are few (days of the study, codes of a
+#: short list), so a set of them goes along with the sums.
+OPEN_COLUMNS = ("shortcode", "ddms_pha", "fcc")
+
+
 def distinct_columns() -> list[Column]:
-    return [F.count_distinct(c).alias(n) for n, c in DISTINCT_COUNTS.items()]
+    return [
+        (F.count_distinct(c) if c in OPEN_COLUMNS else F.size(F.collect_set(c)).cast("long")).alias(n)
+        for n, c in DISTINCT_COUNTS.items()
+    ]
 
 
 def total_columns() -> list[Column]:
@@ -104,8 +115,9 @@ def total_columns() -> list[Column]:
 def patient_utilisation(rows: DataFrame, keys: Sequence[str] = ("p_id",)) -> DataFrame:
     """Counts, distinct counts, means and spend per patient.
 
-    The exact distinct counts share one expanded aggregation: a first level by
-    (patient, value) spreads even a hot patient, the second only adds up.
+    The exact distinct counts of physicians, pharmacies and packs share one
+    expanded aggregation: a first level by (patient, value) spreads even a hot
+    patient, the second only adds up. Days, specialties and classes are sets.
     """
     return rows.groupBy(*keys).agg(*total_columns(), *distinct_columns())
 
@@ -303,6 +315,7 @@ def index_molecule(supply: DataFrame, add_on: str, usable_above: float = 80) ->
     )
 
 
+# Labels of the days-supply bands.
 SUPPLY_BANDS = ("(0, 80]", "(80, 100]", "(100, 180]", "(180, 200]", "(200, infinite]")
 
 
@@ -437,33 +450,76 @@ YEARLY_MEASURES = ("cnt_tx", *DISTINCT_COUNTS, "mean_doc_gender", "mean_spending
 
 def yearly_correlation(rows: DataFrame) -> DataFrame:
     """(measure, year, later_year, corr_years): each measure between every two
-    years, over the patients with claims in both."""
+    years, over the patients with claims in both.
+
+    A patient's years are gathered once (as many as the study has). Tasks hand on
+    sums, squares and products of every pair of years, which are added up in a
+    tree; no patient is joined with itself.
+    """
     more = rows.withColumn("year", F.floor(F.col("transactiondate") / 10000).cast("int"))
     means = {"mean_doc_gender": F.avg("doc_gender"), "mean_spending": F.avg(F.col("rsp") * F.col("units"))}
     means = more.groupBy("p_id", "year").agg(*[c.alias(n) for n, c in means.items()])
-    years = stage(yearly_utilisation(rows).join(means, ["p_id", "year"]))
-    number = lambda c, name: F.col(c).cast("double").alias(name)
-    first = years.select("p_id", "year", *[number(c, f"{c}_a") for c in YEARLY_MEASURES])
-    later = years.select("p_id", F.col("year").alias("later_year"), *[number(c, f"{c}_b") for c in YEARLY_MEASURES])
-    both = first.join(later, "p_id").where(F.col("year") < F.col("later_year"))
-
-    def corr(c):
-        a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
-        known_both = a.isNotNull() & b.isNotNull()
-        spread = F.stddev_pop(F.when(known_both, a)) * F.stddev_pop(F.when(known_both, b))
-        return F.try_divide(F.covar_pop(a, b), spread)
-
-    return per_column(both, YEARLY_MEASURES, {"corr_years": corr}, ["year", "later_year"]).withColumnRenamed("variable", "measure")
-
-
-def rare_products(rows: DataFrame, limit: int) -> DataFrame:
-    """Products used by at most ``limit`` patients."""
-    return (
-        rows.groupBy("prod")
-        .agg(F.count_distinct("p_id").alias("p_count"))
-        .where(F.col("p_count") <= limit)
-    )
-
-
-def drop_rare_products(rows: DataFrame, limit: int) -> DataFrame:
+    vector = F.array(*[F.col(m).cast("double") for m in YEARLY_MEASURES]).alias("v")
+    years = stage(yearly_utilisation(rows).join(means, ["p_id", "year"]).select("p_id", "year", vector))
+    middle = years.select(F.posexplode("v").alias("m", "v")).groupBy("m").agg(F.avg("v").alias("v")).collect()  # a row for each measure
+    n = len(YEARLY_MEASURES)
+    centre = np.zeros(n)
+    for r in middle:
+        centre[r["m"]] = r["v"] if r["v"] is not None else 0.0
+    patients = years.groupBy("p_id").agg(F.sort_array(F.collect_list(F.struct("year", "v"))).alias("y"))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column("y")
+            if not len(own):
+                continue
+            flat = own.flatten()
+            owner = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+            year = flat.field("year").to_numpy()
+            values = flat.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n) - centre
+            at = {int(y): np.full((len(own), n), np.nan) for y in np.unique(year)}
+            for y, x in at.items():
+                x[owner[year == y]] = values[year == y]
+            for a, x in at.items():
+                for b, z in at.items():
+                    if a < b:
+                        known_both = np.isfinite(x) & np.isfinite(z)
+                        p, q = np.where(known_both, x, 0), np.where(known_both, z, 0)
+                        sums = np.stack([known_both, p, q, p * p, q * q, p * q]).sum(axis=1)
+                        met = (np.isfinite(x).any(axis=1) & np.isfinite(z).any(axis=1)).any()
+                        key = a * 10000 + b
+                        if met:
+                            total[key] = total.get(key, 0) + sums.ravel()
+        if total:
+            yield batch_of(total)
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, raw in zip(batch.column("k").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                c, p, q, pp, qq, pq = np.frombuffer(raw).reshape(6, n)
+                with np.errstate(all="ignore"):
+                    var = [np.maximum(ss - s * s / c, 0) for ss, s in ((pp, p), (qq, q))]
+                    level = [1e-12 * np.maximum(ss, 1) for ss in (pp, qq)]
+                    corr = (pq - p * q / c) / np.sqrt(var[0] * var[1])
+                flat = ~np.isfinite(corr) | (var[0] <= level[0]) | (var[1] <= level[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(YEARLY_MEASURES), pa.array([key // 10000] * n, pa.int32()), pa.array([key % 10000] * n, pa.int32()), pa.array(corr, mask=flat)],
+                    ["measure", "year", "later_year", "corr_years"],
+                )
+
+    sums = tree_sums(patients.select("y").mapInArrow(moments, SCHEMA))
+    return sums.mapInArrow(correlated, "measure string, year int, later_year int, corr_years double")
+
+
+def rare_products(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Products used by at most ``limit`` patients; without a limit those with the fewest."""
+    counts = rows.groupBy("prod").agg(F.count_distinct("p_id").alias("p_count"))
+    if limit is not None:
+        return counts.where(F.col("p_count") <= limit)
+    counts = stage(counts)
+    return attach_scalars(counts, counts.agg(F.min("p_count").alias("_fewest"))).where("p_count = _fewest").drop("_fewest")
+
+
+def drop_rare_products(rows: DataFrame, limit: int | None) -> DataFrame:
     return anti_join(rows, rare_products(rows, limit), "prod")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from dosewise.functions import known
 from dosewise.functions.ranks import average_ranks, value_counts
 from dosewise.operators.joins import attach_scalars
+from dosewise.operators.sums import SCHEMA, batch_of, tree_sums
+from dosewise.session import stage
 
 # ---- wide aggregate to long result ----------------------------------------------
 
@@ -113,58 +115,68 @@ def score_bucket_profile(
 # ---- correlation -------------------------------------------------------------------
 
 
-#: Tasks in which the matrices of all tasks are added up.
-MERGERS = 16
+#: Columns of a block of the cross-product matrix.
+BLOCK = 64
 
 
-def co_moments(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def co_moments(rows: DataFrame, columns: Sequence[str], block: int = BLOCK) -> DataFrame:
     """Centred cross products (i, j, s, s_i, s_j) of the complete rows, i <= j.
 
-    Columns are centred by their means (p numbers, gathered first), then every
-    task adds up X'X of its batches and hands on one p x p matrix, whatever the
-    number of rows; MERGERS tasks add those up. The squares of both columns ride
-    along with each pair.
+    Columns travel as one array, which is written once: means and products read
+    it, and plans over hundreds of column expressions stay short. They are centred by their means (p numbers,
+    gathered first). The matrix is cut into blocks of column pairs; a task adds up each block over its rows and
+    hands it on once, whatever their number, and blocks of the tasks are added up
+    in a tree. The squares of both columns ride along with each pair.
     """
     p = len(columns)
-    full = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
-    centre = np.array([np.nan if m is None else m for m in full.agg(*[F.avg(c) for c in columns]).first()])
-    upper_i, upper_j = np.triu_indices(p)
+    full = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    full = stage(full.where(F.forall("x", lambda v: v.isNotNull())))
 
-    schema = "i int, j int, s double, s_i double, s_j double"
-    batch_of = lambda arrays: pa.RecordBatch.from_arrays(arrays, names=["i", "j", "s", "s_i", "s_j"])
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """X'X of a task as one value."""
-        total, seen = np.zeros((p, p)), False
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p + 1)
         for b in batches:
             if b.num_rows:
-                x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)]) - centre
-                total += x.T @ x
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sum of those that meet in a task, cut up by pair."""
-        total, seen = np.zeros((p, p)), False
+                total += np.append(matrix(b).sum(axis=0), b.num_rows)
+        yield batch_of({0: total})
+
+    sums = tree_sums(full.mapInArrow(summed, SCHEMA)).first()
+    total = np.frombuffer(sums["total"]) if sums else np.zeros(p + 1)
+    centre = total[:p] / max(total[p], 1)
+    parts = -(-p // block)
+    spans = [(a, min(p, a + block)) for a in range(0, p, block)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """X'X of a task, block by block, each with the squares of its columns."""
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for raw in b.column("total"):
-                total += np.frombuffer(raw.as_py()).reshape(p, p)
-                seen = True
-        if seen:
-            square = np.diag(total)
-            yield batch_of(
-                [
-                    pa.array(upper_i.astype("int32")),
-                    pa.array(upper_j.astype("int32")),
-                    pa.array(total[upper_i, upper_j]),
-                    pa.array(square[upper_i]),
-                    pa.array(square[upper_j]),
-                ]
-            )
-
-    parts = full.mapInArrow(partial, "total binary").repartition(MERGERS).mapInArrow(merged, schema)
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("s", "s_i", "s_j")])
+            if b.num_rows:
+                x = matrix(b) - centre
+                square = (x * x).sum(axis=0)
+                for i, (a, z) in enumerate(spans):
+                    for j, (c, e) in enumerate(spans[i:], i):
+                        value = np.concatenate([(x[:, a:z].T @ x[:, c:e]).ravel(), square[a:z], square[c:e]])
+                        k = i * parts + j
+                        total[k] = total[k] + value if k in total else value
+        if total:
+            yield batch_of(total)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks as pairs."""
+        for batch in batches:
+            for k, raw in zip(batch.column("k").to_pylist(), batch.column("total").to_pylist(), strict=True):
+                (a, z), (c, e) = spans[k // parts], spans[k % parts]
+                value = np.frombuffer(raw)
+                n = (z - a) * (e - c)
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(a, z), np.arange(c, e), indexing="ij"))
+                s_i, s_j = value[n : n + z - a][i - a], value[n + z - a :][j - c]
+                keep = i <= j
+                columns_ = [i.astype("int32"), j.astype("int32"), value[:n], s_i, s_j]
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns_], names=["i", "j", "s", "s_i", "s_j"])
+
+    return tree_sums(full.mapInArrow(partial, SCHEMA)).mapInArrow(cut, "i int, j int, s double, s_i double, s_j double")
 
 
 def _pairs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

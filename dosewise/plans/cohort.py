@@ -11,6 +11,7 @@ from dosewise.operators import aggregate as agg
 from dosewise.operators.derive import atc_levels, drop_early_market, pre_index_window, recode_molecule
 from dosewise.operators.joins import anti_join, cohort_inner
 from dosewise.operators.reshape import union_distinct
+from dosewise.sources import persist_stage
 from dosewise.sources.claims import Tables
 
 INDEX_START = "1996-07-01"
@@ -66,6 +67,7 @@ def history_utilisation(tables: Tables) -> DataFrame:
 
 def build_cohort(
     tables: Tables,
+    claims: DataFrame | None = None,
     first_day: int = 19950101,
     last_day: int = 20010801,
     limit: float = 12,
@@ -74,9 +76,14 @@ def build_cohort(
 ) -> DataFrame:
     """Cohort rows in the study period: excluded and outlier patients removed,
     market rows before the window deleted, index date, class levels and the
-    recoded molecule attached."""
-    claims = tables.rx.drop("capped_days_treatment")
-    rows = cohort_inner(claims, tables.pat_persistence, tables.exclusions, first_day, last_day)
+    recoded molecule attached. ``claims`` are those of the tables unless given.
+
+    Outliers, index dates and result read the joined claims, which are written once.
+    """
+    claims = (tables.rx if claims is None else claims).select(
+        "p_id", "trans_date", "transactiondate", "fcc", "prod", "atc", "mol1", "units", "market", "rx_id"
+    )
+    rows = persist_stage(cohort_inner(claims, tables.pat_persistence, tables.exclusions, first_day, last_day))
     outliers = union_distinct(agg.outlier_patients(rows, limit))
     index = anti_join(agg.index_date(rows, start, end, "window"), outliers, "p_id")
     # an indexed patient is never an outlier, so the inner join removes those too

@@ -22,8 +22,10 @@ from dosewise.sources import code_list_filter, persist_stage
 
 @dataclass(frozen=True)
 class PdcSettings:
+    # fixed values: the twenty therapy classes
     codes: str = "A02B C07A B01C N05C N06A C03A M02A C08A C09A A10J R06A R03F H03A R03G N05A C09B N03A C07B C09C C09D"
-    rare_limit: int = 5
+    #: products of so few patients are left out; None: those with the fewest
+    rare_limit: int | None = 5
     window_days: int | None = 360
     lookback_days: int = 60
     dedup_products: bool = True

@@ -18,12 +18,13 @@ from dosewise.operators.derive import (
     therapy_flags,
 )
 from dosewise.operators.joins import first_per_key, multi_left
+from dosewise.sources import persist_stage
 from dosewise.sources.claims import Tables
 
 
 def profile_features(tables: Tables, start: str, stems: Sequence[str], specialties: Sequence[str]) -> DataFrame:
-    """One row per indexed patient of the distinct claims."""
-    claims = drop_early_market(tables.rx.distinct(), start)
+    """One row per indexed patient of the distinct claims, which are written once."""
+    claims = persist_stage(drop_early_market(tables.rx.distinct(), start))
     index = agg.index_date(claims, start, variant="after_start")
     rows = claims.join(index, "p_id")
     fill = first_per_key(
