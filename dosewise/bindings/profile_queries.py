@@ -118,19 +118,65 @@ _num_long = " union all ".join(f"select '{v}' as variable, cast({v} as double) a
 _position = "case variable " + " ".join(f"when '{v}' then {i}" for i, v in enumerate(_cust, 1)) + " end"
 
 
+_no_dates = ", ".join(f"null::date as {m}_date" for m in ("min", "max", "mean", "median"))
+_no_numbers = ", ".join(f"null::double as {m}" for m in ("min", "max", "mean", "median"))
+
+
 @query(
     "table_summary",
     f"with {_counts('customer', ['c_name', 'c_mktsegment'])}, nl as ({_num_long}) select *, {_position} as position from ("
-    f"select variable, {SHARES_SQL}, {DISTINCT_SQL}, null::double as min, null::double as max, null::double as mean, null::double as median, null::double as range, "
+    f"select variable, {SHARES_SQL}, {DISTINCT_SQL}, {_no_numbers}, null::double as range, {_no_dates}, "
     f"'Character' as type, '{' , '.join(SENTINELS)}' as sentinel_list from tc group by variable union all "
     "select variable, count(*), count(x), round(count(x)/count(*),6), count(*)-count(x), round((count(*)-count(x))/count(*),6), 0, round(0,6), count(distinct x), "
-    "min(x), max(x), round(avg(x),6), median(x), max(x)-min(x), 'Numeric', '' from nl group by variable)",
+    "min(x), max(x), round(avg(x),6), median(x), max(x)-min(x), null, null, null, null, 'Numeric', '' from nl group by variable)",
     raw=True,
 )
 def table_summary(t, c):
     return rounded(prof.table_summary(t.read("customer"), _cust, SENTINELS), [*SHARES, "mean"])
 
 
+# every fourth key is missing; dates and numbers that are written as text are read as such
+TYPES = {
+    "o_orderkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "date", "day_text": "date",
+    "price_text": "number", "o_orderpriority": "text",
+}
+_typed = {c: i for i, c in enumerate(TYPES, 1)}
+_number_sql = "min(x), max(x), round(avg(x),6), median(x), max(x)-min(x), null, null, null, null, 'Numeric', ''"
+_date_sql = (
+    "null, null, null::double, null, max(x)-min(x), "
+    + ", ".join(f"date '1970-01-01' + cast(floor({f}(x)) as int)" for f in ("min", "max", "avg", "median"))
+    + ", 'Date', ''"
+)
+_all_sql = "count(*), count(v), round(count(v)/count(*),6), count(*)-count(v), round((count(*)-count(v))/count(*),6), 0, round(0,6), count(distinct v)"
+
+
+@query(
+    "table_profile",
+    f"with o as (select *, case when o_orderkey % 4 <> 0 then o_orderkey end as k, strftime(o_orderdate, '%Y-%m-%d') as day_text, cast(o_orderkey % 100 as varchar) || '.50' as price_text from orders), "
+    f"{_counts('o', ['o_orderstatus', 'o_orderpriority'])}, "
+    "nl as (select 'o_orderkey' as variable, cast(k as double) as x, cast(k as varchar) as v from o union all select 'o_totalprice', o_totalprice, cast(o_totalprice as varchar) from o "
+    "union all select 'price_text', cast(price_text as double), price_text from o), "
+    "dl as (select 'o_orderdate' as variable, cast(cast(o_orderdate as date) - date '1970-01-01' as double) as x, cast(cast(o_orderdate as date) as varchar) as v from o "
+    "union all select 'day_text', cast(cast(day_text as date) - date '1970-01-01' as double), day_text from o) "
+    f"select *, case variable {' '.join(f'when {chr(39)}{c}{chr(39)} then {i}' for c, i in _typed.items())} end as position from ("
+    f"select variable, {SHARES_SQL}, {DISTINCT_SQL}, {_no_numbers}, null::double as range, {_no_dates}, "
+    f"'Character' as type, '{' , '.join(SENTINELS)}' as sentinel_list from tc group by variable union all "
+    f"select variable, {_all_sql}, {_number_sql} from nl group by variable union all select variable, {_all_sql}, {_date_sql} from dl group by variable)",
+    raw=True,
+)
+def table_profile(t, c):
+    """A whole table by a list of column types."""
+    key = F.col("o_orderkey")
+    rows = t.read("orders").withColumns(
+        {
+            "day_text": F.date_format("o_orderdate", "yyyy-MM-dd"),
+            "price_text": F.concat((key % 100).cast("string"), F.lit(".50")),
+            "o_orderkey": F.when(key % 4 != 0, key),
+        }
+    )
+    return rounded(prof.table_summary(rows, sentinels=SENTINELS, types=TYPES), [*SHARES, "mean"])
+
+
 # ---- comparisons -----------------------------------------------------------------------------
 
 

@@ -8,13 +8,13 @@ arrives as one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from dosewise.functions import filled, one_of, parse_number, parse_stamp_text
+from dosewise.functions import day_number, filled, one_of, parse_number, parse_stamp_text
 from dosewise.functions.ranks import order_statistics
 from dosewise.operators.joins import attach_scalars
 from dosewise.session import stage
@@ -165,47 +165,83 @@ def top_bottom_values(rows: DataFrame, columns: Sequence[str], k: int = 10) -> D
     return side("top", F.col("frequency").desc()).unionByName(side("bottom", F.col("frequency").asc()))
 
 
-def table_summary(rows: DataFrame, columns: Sequence[str] | None = None, sentinels: Sequence[str] = SENTINELS) -> DataFrame:
+#: Names of the column types in a summary.
+TYPE_NAMES = {"text": "Character", "number": "Numeric", "date": "Date"}
+
+
+def column_types(rows: DataFrame) -> dict[str, str]:
+    """text, number or date for each column, by its own type."""
+    kinds = ((NumericType, "number"), ((DateType, TimestampType, TimestampNTZType), "date"))
+    return {f.name: next((k for t, k in kinds if isinstance(f.dataType, t)), "text") for f in rows.schema.fields}
+
+
+def typed_counts(rows: DataFrame, types: Mapping[str, str], sentinels: Sequence[str] = SENTINELS) -> DataFrame:
+    """(variable, kind, key, x, n): the value counts of columns of any type.
+
+    Texts are told apart by their SHA-256 (key), numbers and dates by x, dates as
+    days since 1970. A text column listed as number or date is read as one; what
+    can't be read has no x but counts as a value.
+    """
+    def cell(c: str) -> Column:
+        v, own = F.col(c), isinstance(rows.schema[c].dataType, StringType)
+        text = v.cast("string")
+        kind = _kind(text, sentinels) if own or types[c] == "text" else F.when(v.isNull(), "blank").otherwise("value")
+        x = {
+            "text": lambda: F.lit(None).cast("double"),
+            "number": lambda: parse_number(v) if own else v.cast("double"),
+            "date": lambda: day_number(parse_stamp_text(v) if own else v.cast("date")),
+        }[types[c]]()
+        key = F.sha2(text, 256) if own or types[c] == "text" else F.lit(None).cast("string")
+        return F.struct(kind.alias("kind"), key.alias("key"), F.when(kind == "value", x).alias("x")).alias(c)
+
+    long = rows.select(*[cell(c) for c in types]).unpivot([], list(types), "variable", "cell")
+    return long.groupBy("variable", "cell.kind", "cell.key", "cell.x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_summary(
+    rows: DataFrame,
+    columns: Sequence[str] | None = None,
+    sentinels: Sequence[str] = SENTINELS,
+    types: Mapping[str, str] | None = None,
+) -> DataFrame:
     """One row per column: position, type, counts and shares of available, blank
-    and sentinel values, distinct values and, for numbers, the usual statistics."""
-    columns = list(columns or rows.columns)
-    kinds = {f.name: isinstance(f.dataType, NumericType) for f in rows.schema.fields}
-    numeric = [c for c in columns if kinds[c]]
-    text = [c for c in columns if not kinds[c]]
-    n_total = F.sum("n")
-    parts = []
-    if text:
-        t = kind_counts(rows, text, sentinels).groupBy("variable").agg(
-            *_shares(n_total), F.count_if(F.col("kind") == "value").alias("distinct_values")
-        )
-        parts.append(t.withColumns({"type": F.lit("Character"), "sentinel_list": F.lit(" , ".join(sentinels))}))
-    if numeric:
-        as_numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in numeric])
-        long = as_numbers.unpivot([], numeric, "variable", "x")
-        counts = long.groupBy("variable", "x").agg(F.count(F.lit(1)).alias("n")).withColumn(
-            "kind", F.when(F.col("x").isNull(), "blank").otherwise("value")
-        )
-        basics = counts.groupBy("variable").agg(
-            *_shares(n_total),
-            F.count_if(F.col("x").isNotNull()).alias("distinct_values"),
-            F.min("x").alias("min"),
-            F.max("x").alias("max"),
-            F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("mean"),
-        )
-        medians = order_statistics(
-            counts.where(F.col("x").isNotNull()).select("variable", "x", "n"), "x", [50], "variable"
-        ).withColumnRenamed("p50", "median")
-        parts.append(
-            basics.join(medians, "variable", "left").withColumns(
-                {
-                    "range": F.col("max") - F.col("min"),
-                    "type": F.lit("Numeric"),
-                    "sentinel_list": F.lit(""),
-                }
-            )
-        )
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    order = F.lit(0)
-    for i, c in enumerate(columns, 1):
-        order = F.when(F.col("variable") == c, i).otherwise(order)
-    return out.withColumn("position", order).orderBy("position")
+    and sentinel values, distinct values and the usual statistics: of numbers in
+    min, max, mean, median and range, of dates in the columns that end in _date,
+    with the range in days (mean and median fall on the day they reach).
+
+    types lists the columns and what they are (text, number or date); without it
+    the columns' own types count. All come from one table of value counts, which
+    is written once for the statistics and the medians.
+    """
+    own = column_types(rows)
+    types = dict(types) if types is not None else {c: own[c] for c in columns or rows.columns}
+    if unknown := set(types.values()) - set(TYPE_NAMES):
+        raise ValueError(f"unknown column types {sorted(unknown)}")
+    counts = stage(typed_counts(rows, types, sentinels))
+    x, n = F.col("x"), F.col("n")
+    basics = counts.groupBy("variable").agg(
+        *_shares(F.sum("n")),
+        F.count_if(F.col("kind") == "value").alias("distinct_values"),
+        F.min("x").alias("_min"),
+        F.max("x").alias("_max"),
+        F.try_divide(F.sum(x * n), F.sum(F.when(x.isNotNull(), n))).alias("_mean"),
+    )
+    numbers = counts.where(x.isNotNull()).groupBy("variable", "x").agg(F.sum("n").alias("n"))
+    medians = order_statistics(numbers, "x", [50], "variable").withColumnRenamed("p50", "_median")
+    about = F.create_map(*[
+        v for i, (c, t) in enumerate(types.items(), 1)
+        for v in (F.lit(c), F.struct(F.lit(i).alias("position"), F.lit(t).alias("type")))
+    ])
+    out = basics.join(medians, "variable", "left").withColumn("_is", about[F.col("variable")])
+    is_number, is_date = F.col("_is.type") == "number", F.col("_is.type") == "date"
+    names = ("min", "max", "mean", "median")
+    listed = F.when(F.col("_is.type") == "text", " , ".join(sentinels)).otherwise("")
+    return out.select(
+        *[c for c in basics.columns if not c.startswith("_")],
+        *[F.when(is_number, F.col(f"_{m}")).alias(m) for m in names],
+        F.when(is_number | is_date, F.col("_max") - F.col("_min")).alias("range"),
+        *[F.when(is_date, F.date_from_unix_date(F.floor(f"_{m}").cast("int"))).alias(f"{m}_date") for m in names],
+        F.create_map(*[F.lit(v) for pair in TYPE_NAMES.items() for v in pair])[F.col("_is.type")].alias("type"),
+        listed.alias("sentinel_list"),
+        F.col("_is.position").alias("position"),
+    ).orderBy("position")
