@@ -11,7 +11,7 @@ from dosewise.operators.joins import first_per_key, with_group_values
 from dosewise.operators.stats import corr_with_target
 from dosewise.plans import cohort as cohort_plan
 from dosewise.plans.cohort import FIRST_DAY, INDEX_END, INDEX_START, LAST_DAY
-from dosewise.plans.patient_mart import ATC3_LEVELS, MARKET_MOLECULES, URBAN_LEVELS, mart_levels, patient_mart
+from dosewise.plans.patient_mart import ATC3_LEVELS, FAMILIES, URBAN_LEVELS, mart_levels, mart_vectors, patient_mart
 from dosewise.plans.profile_features import profile_features
 
 STEMS = ("red",)
@@ -439,13 +439,13 @@ _spec = ", ".join(f"max(case when doc_speciality='{v}' then 1 else 0 end) as \"s
 _overall = ", ".join(
     [f"max(case when market=1 and doc_speciality='{v}' then 1 else 0 end) as \"market_spec{v}_Max\"" for v in SPECIALTIES]
     + [f"max(case when market=1 and doc_gender={v} then 1 else 0 end) as \"market_doc_gender{v}_Max\"" for v in (1, 2)]
-    + [f"max(case when market=1 and mol1='{v}' then 1 else 0 end) as \"mol_{derive.clean_name(v)}_Max\"" for v in MARKET_MOLECULES]
     + [
         f"max(case when market=1 and trans_date=index_date and doc_speciality='{v}' then 1 else 0 end) as \"doc_speciality_{v}_Max\""
         for v in SPECIALTIES
     ]
 )
 _labels = ", ".join(f"(capped_days_treatment/30>={m})::int as persistence_{m}m" for m in (3, 6, 9))
+_wide_vectors = ", ".join(f"max(numbers) filter (family='{k}') as {k}_levels" for k in FAMILIES)
 MART_VIEWS = f"""ia as (select p_id, min(trans_date) as index_date from base where market=1 group by p_id),
  ra as (select base.*, ia.index_date from base join ia on base.p_id=ia.p_id),
  ha as (select flags.*, ia.index_date from flags join ia on flags.p_id=ia.p_id where market=0 and trans_date<index_date),
@@ -461,24 +461,38 @@ MART_VIEWS = f"""ia as (select p_id, min(trans_date) as index_date from base whe
   cast(round(avg(g.graduation_year) over ()) as int) as mean_year from main_doc m left join doc_graduation g on m.main_physician=g.short_id)),
  pg as (select shortcode, min(doc_gender)-1 as main_physician_gender from ra where doc_gender in (1,2) group by 1),
  pk as (select f.p_id, f.mol1 as mol_start, d.pack_size, d.str_unit from (select *, row_number() over (partition by p_id order by fcc, mol1) as rn
-  from ra where trans_date=index_date and market=1) f left join product_dict d on f.fcc=d.fcc where rn=1)"""
+  from ra where trans_date=index_date and market=1) f left join product_dict d on f.fcc=d.fcc where rn=1),
+ lv as (select distinct p_id, 'market_molecule' as family, mol1 as level from ra where market=1 and mol1 is not null union all
+  select p_id, 'start_molecule', mol_start from pk where mol_start is not null union all
+  select p_id, 'pack_size', cast(pack_size as varchar) from pk where pack_size is not null union all
+  select p_id, 'strength', str_unit from pk where str_unit is not null),
+ vectors as (select p_id, family, any_value(width) as width, string_agg(cast(number as varchar), ',' order by number) as numbers from lv join
+  (select family, level, row_number() over (partition by family order by md5(level), level) - 1 as number, count(*) over (partition by family) as width
+  from (select distinct family, level from lv)) d using (family, level) group by p_id, family),
+ lw as (select p_id, {_wide_vectors} from vectors group by p_id)"""
+
+
+def as_text(numbers):
+    return F.array_join(F.col(numbers).cast("array<string>"), ",")
 
 
 @query(
     "patient_mart",
-    f"""select overall.*, gender.* exclude (p_id), before.* exclude (p_id), dg.mean_doc_gender, grad.graduation, pg.main_physician_gender,
+    f"""select overall.*, lw.* exclude (p_id), gender.* exclude (p_id), before.* exclude (p_id), dg.mean_doc_gender, grad.graduation, pg.main_physician_gender,
  pk.mol_start, pk.pack_size, pk.str_unit, sd.meyon, sd.urb, sd.surface, s.sales,
  case s.active when 'Y' then 1 when 'N' then 0 end as physician_active,
  {', '.join(f"case when sd.urb={v} then 1 else 0 end as urban_{v}" for v in URBAN_LEVELS)},
  {_labels.replace('capped_days', 'pp.capped_days')}
- from overall left join gender using (p_id) left join before using (p_id) left join dg using (p_id) left join reg using (p_id)
+ from overall left join lw using (p_id) left join gender using (p_id) left join before using (p_id) left join dg using (p_id) left join reg using (p_id)
  left join grad using (p_id) left join pg on grad.main_physician=pg.shortcode left join pk using (p_id)
  left join sociodemo sd on reg.main_region_pat=sd.brick left join doc_sales s on grad.main_physician=s.shortcode
  left join pat_persistence pp using (p_id) where dg.mean_doc_gender is not null and trim(s.active)<>''""",
     MART_VIEWS,
 )
 def patient_mart_query(t, c):
-    out = utilisation_rounded(patient_mart(t, INDEX_START, STEMS))
+    """Vectors of levels as text."""
+    out = patient_mart(t, INDEX_START, STEMS)
+    out = utilisation_rounded(out.withColumns({f"{k}_levels": as_text(f"{k}_levels") for k in FAMILIES}))
     out = rounded(out, ["mean_doc_gender"])
     return rounded(out, [f"pre_{s}_cost" for s in derive.COST_NAMES.values()], 4)
 
@@ -495,6 +509,12 @@ def mart_levels_query(t, c):
     return mart_levels(t, INDEX_START)
 
 
+@query("mart_vectors", "select * from vectors", MART_VIEWS)
+def mart_vectors_query(t, c):
+    """Numbers of each vector as text."""
+    return mart_vectors(t, INDEX_START).withColumn("numbers", as_text("numbers"))
+
+
 @query(
     "profile_features",
     f"""select i.p_id, i.index_date, f.mol1 as index_molecule,

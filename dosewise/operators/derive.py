@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.functions import below, date_to_int, filled, flag, known, one_of, parse_date_int, parse_number
+from dosewise.functions.ranks import hash_row_number
+from dosewise.session import stage
 
 # Molecule stems and ATC classes behind the therapy flags, and the
 # physician specialty codes.
@@ -127,10 +129,32 @@ def levels_of(rows: DataFrame, column: str, limit: int = 1000) -> list:
     """
     found = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels; it cannot become dummy columns")
+        raise ValueError(f"{column} has more than {limit} levels; use sparse_dummies, columns are for few")
     return sorted(r[0] for r in found)
 
 
+def level_dictionary(levels: DataFrame) -> DataFrame:
+    """(family, level, number) of the distinct levels, numbered from 0 in hash order
+    within their family; made by the cluster, for any number of levels."""
+    distinct = levels.select("family", "level").where(F.col("level").isNotNull()).distinct()
+    numbered = hash_row_number(distinct.withColumn("_d", F.md5("level")), ["family"], "_d", "level", "number")
+    return numbered.select("family", "level", (F.col("number") - 1).alias("number"))
+
+
+def sparse_dummies(levels: DataFrame, key: str = "p_id") -> DataFrame:
+    """(key, family, width, numbers): one sparse 0/1 vector a key and family from
+    rows (key, family, level), the sorted numbers of the levels that are 1.
+
+    The form of dummies for columns of any number of levels; ``one_hot`` makes
+    columns of a few.
+    """
+    dictionary = stage(level_dictionary(levels))
+    width = dictionary.groupBy("family").agg(F.count(F.lit(1)).alias("width"))
+    rows = levels.select(key, "family", "level").join(dictionary, ["family", "level"])
+    vectors = rows.groupBy(key, "family").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    return vectors.join(width, "family").select(key, "family", "width", "numbers")
+
+
 def one_hot(rows: DataFrame, column: str, prefix: str, levels: Sequence | None = None) -> DataFrame:
     """A 0/1 column per level; levels are looked up unless they are given."""
     levels = levels_of(rows, column) if levels is None else levels

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from dosewise.functions import known, parse_number
 from dosewise.operators import aggregate as agg
@@ -15,8 +16,10 @@ from dosewise.operators.derive import (
     code_flag_and_drop,
     drop_early_market,
     fixed_dummies,
+    levels_of,
     persistence_labels,
     pre_index_window,
+    sparse_dummies,
     therapy_cost_trx,
     therapy_flags,
 )
@@ -27,7 +30,6 @@ from dosewise.sources.claims import Tables
 SPECIALTIES = ("11", "21", "34", "60")
 ATC3_LEVELS = ("A02B", "A10C", "A10J", "C07A", "C09A")
 URBAN_LEVELS = (10, 26, 42, 58)
-MARKET_MOLECULES = ("COLD GEAR", "RED RING")
 
 
 def patient_mart(
@@ -36,12 +38,17 @@ def patient_mart(
     stems: Sequence[str],
     specialties: Sequence[str] = SPECIALTIES,
     atc3: Sequence[str] = ATC3_LEVELS,
-    molecules: Sequence[str] = MARKET_MOLECULES,
+    molecules: Sequence[str] | None = (),
     urban: Sequence[int] = URBAN_LEVELS,
 ) -> DataFrame:
     """Covariates from the history before the index date, the index fill and the
     main region and physician, with the persistence labels.
 
+    Market molecules, and molecule, pack size and strength of the index fill, have
+    any number of levels: they are sparse vectors, an array of level numbers a
+    family (``mart_vectors`` tells their width). Listed molecules also get a 0/1
+    column each, None stands for all of the data (few, see ``levels_of``).
+
     The indexed claims feed six aggregations, so they are written once. Tables
     that share input are one aggregate each instead of one per covariate group.
     """
@@ -55,6 +62,7 @@ def patient_mart(
         ).join(index, "p_id")
     )
     market = known(F.col("market") == 1)
+    molecules = levels_of(rows.where(market), "mol1") if molecules is None else molecules
     history = therapy_cost_trx(
         therapy_flags(atc_levels(pre_index_window(rows, None).where(F.col("market") == 0)), stems)
     )
@@ -78,7 +86,12 @@ def patient_mart(
     physician = agg.impute_graduation(agg.main_physician(rows), tables.doc_graduation)
     physician = match_merge_left(physician, agg.physician_gender(rows), "main_physician", "main_physician")
     pack = index_pack_lookup(rows, tables.product_dict).withColumnRenamed("mol1", "mol_start")
-    wide = multi_left(overall, [before, distinct, agg.mean_doctor_gender(history), agg.main_region(rows), physician, pack])
+    vectors = sparse_dummies(persist_stage(_levels(rows, tables)))
+    vectors = vectors.groupBy("p_id").pivot("family", list(FAMILIES)).agg(F.first("numbers"))
+    vectors = vectors.withColumnsRenamed({k: f"{k}_levels" for k in FAMILIES})
+    wide = multi_left(
+        overall, [before, distinct, agg.mean_doctor_gender(history), agg.main_region(rows), physician, pack, vectors]
+    )
     demo = tables.sociodemo.withColumn("meyon", parse_number(F.col("meyon")))
     wide = match_merge_left(wide, demo, "main_region_pat", "brick")
     wide = match_merge_left(wide, tables.doc_sales, "main_physician", "shortcode")
@@ -104,10 +117,31 @@ def mart_levels(tables: Tables, start: str) -> DataFrame:
     base = drop_early_market(tables.rx, start)
     index = agg.index_date(base, start, variant="after_start")
     needed = base.where("market = 1").select("p_id", "trans_date", "fcc", "mol1", "market")
-    rows = persist_stage(needed.join(index, "p_id"))
+    return _levels(persist_stage(needed.join(index, "p_id")), tables)
+
+
+#: Families of levels, in the order of the mart's columns.
+FAMILIES = ("market_molecule", "start_molecule", "pack_size", "strength")
+
+
+def _levels(rows: DataFrame, tables: Tables) -> DataFrame:
     pack = index_pack_lookup(rows, tables.product_dict)
-    molecules = rows.select("p_id", F.lit("market_molecule").alias("family"), F.col("mol1").alias("level")).distinct()
-    families = {"start_molecule": "mol1", "pack_size": "pack_size", "strength": "str_unit"}
-    values = F.array(*(F.struct(F.lit(k).alias("family"), F.col(c).cast("string").alias("level")) for k, c in families.items()))
-    first = pack.select("p_id", F.inline(values))
+    market = rows.where("market = 1")
+    molecules = market.select("p_id", F.lit(FAMILIES[0]).alias("family"), F.col("mol1").alias("level")).distinct()
+    values = zip(FAMILIES[1:], ("mol1", "pack_size", "str_unit"), strict=True)
+    first = pack.select("p_id", F.inline(F.array(*(F.struct(F.lit(k).alias("family"), F.col(c).cast("string").alias("level")) for k, c in values))))
     return molecules.unionByName(first).where(F.col("level").isNotNull())
+
+
+def mart_vectors(tables: Tables, start: str) -> DataFrame:
+    """The same as sparse vectors: (p_id, family, width, numbers)."""
+    return sparse_dummies(persist_stage(mart_levels(tables, start)))
+
+
+#: Columns that are no covariates: keys, dates, and what the labels are made of.
+NO_COVARIATES = ("p_id", "index_date", "persistence", "persistence_3m", "persistence_6m", "persistence_9m")
+
+
+def covariate_list(mart: DataFrame) -> list[str]:
+    """The numeric columns of the mart that may explain a label."""
+    return [f.name for f in mart.schema.fields if isinstance(f.dataType, NumericType) and f.name not in NO_COVARIATES]
