@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: With a `local[...]` master driver and executors are one process, so any folder is shared.
 LOCAL_MASTER_FOLDER = "/tmp/checkpoints"
 
-#: What `tune` sets, where the caller's session has not set it.
+#: What `tune` sets in the caller's session.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -64,16 +64,21 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_stages(spark: SparkSession, since: int = 0) -> int:
-    """Delete the staged tables written so far (from the since-th on): call it
-    when no DataFrame reads them any more. Returns how many went."""
+def staged_so_far() -> int:
+    """How many staged tables there are."""
+    return len(_stages)
+
+
+def release_stages(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the staged tables written so far (from the since-th on, but for the
+    last keep ones): call it when no DataFrame reads them any more. Returns how many went."""
     gone = 0
-    while len(_stages) > since:
-        path = _stages.pop()
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
+    stop = len(_stages) - keep
+    for path in _stages[since:stop]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
         gone += bool(fs.delete(target, True))
+    del _stages[since:stop]
     return gone
 
 
