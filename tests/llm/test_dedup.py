@@ -149,3 +149,21 @@ def test_connected_components(spark):
     edges = spark.createDataFrame([*links, (None, 3), (9, 9)], "a long, b long")
     nodes = {x for a, b in links if a != b for x in (a, b)}
     assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == brute.components(nodes, links)
+
+
+@pytest.mark.parametrize("turns", [0, 1, 3])
+def test_jaccard_of_groups_whose_members_do_not_all_link(spark, monkeypatch, turns):
+    """Copies with up to eight changed words share most entries but link only in part."""
+    monkeypatch.setattr(shingle_join, "HUB_TURNS", turns)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(4)]
+    docs = {}
+    for i in range(240):
+        w = list(base[i % 4])
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        docs[i] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.jaccard_components(df).collect()}
+    want = {k: tuple(v) for k, v in brute.jaccard(docs).items()}
+    assert got == want and 10 < len({c for _, c in want.values()}) < 235

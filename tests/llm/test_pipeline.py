@@ -62,3 +62,29 @@ def test_another_text_of_a_repeated_id_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert got == {rows[0], rows[2]}
+
+
+def test_any_column_names_pass_through(spark):
+    """Names with blanks, dots and back quotes, and those that stages use themselves."""
+    text = "the of and a in " * 9
+    rows = [(1, text, "en", "a", 5, "x", 1.5, "z"), (2, text + "or", "en", "a", 5, "y", 2.5, "w")]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "time", "my col", "a.b`c"]
+    docs = spark.createDataFrame(rows, names)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, SF)
+        assert docs.columns == names, name
+    assert {tuple(r)[5:] for r in docs.collect()} <= {("x", 1.5, "z"), ("y", 2.5, "w")} and docs.count() >= 1
+
+
+def test_without_labels_documents_with_letters_stay(spark):
+    rows = [(1, "some words", None, "a"), (2, "1234 !?", None, "a"), (3, None, None, "a"), (4, "日本", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_run_releases_what_it_staged(spark):
+    from dosewise.session import staged_so_far
+
+    before = staged_so_far()
+    corpus_pipeline.run(spark, SF)
+    assert staged_so_far() - before <= 6  # the last documents and what the id files are read from
