@@ -18,7 +18,8 @@ of at least THRESHOLD. Equal sets are one class. The classes then go through:
    bitmaps of their shingles is settled without comparing the sets.
 
 No candidate is dropped and no group gathered: an entry with very many members
-ties them to one hub, and its other pairs are only made across components.
+ties them to one hub, and its other pairs are only made across components. Entries
+with the same members are one, so a pair does not come once a shared shingle.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: A shingle in more classes than this counts as frequent.
 RARE = 64
-#: Longs of a parity bitmap, and rounds with hubs.
-LONGS, HUB_TURNS = 8, 3
+#: Longs of a parity bitmap, rounds with hubs, entries of a class that settle where a pair meets.
+LONGS, HUB_TURNS, LEAST = 8, 3, 8
 BITMAP = [f"bits{i}" for i in range(LONGS)]
 
 
@@ -198,24 +199,32 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs that link, their shingles compared in full."""
+    """Those of the (a, b, ...) pairs that link, their shingles compared in full."""
     left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     linked = both * DENOMINATOR >= (F.col("na") + F.col("nb") - both) * NUMERATOR
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(linked).select(*pairs.columns)
 
 
-def _labelled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
-    """entries with the component of each class; those wholly in one component go."""
-    if links is None:
-        rows = entries.withColumn("label", F.col("cid"))
-    else:
-        parts = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("label"))
-        rows = entries.join(parts, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    rows = stage(rows)
-    live = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return stage(rows.join(live.select("entry"), "entry"))
+def _live(rows: DataFrame) -> DataFrame:
+    """The rows (entry, cid, label, ...) of entries whose members are not yet of one
+    component. Of entries with the same members, told by their number and two
+    64-bit sums of hashes, one is enough: the shingles of a passage give many."""
+    xor = lambda seed: F.bit_xor(F.xxhash64("cid", F.lit(seed)))
+    entries = rows.groupBy("entry").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), xor(1).alias("x"), xor(2).alias("y")
+    )
+    kept = entries.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("entry").alias("entry"))
+    return stage(rows.join(kept.select("entry"), "entry"))
+
+
+def _relabelled(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """rows with the components that the new links, from label la to label lb, make of theirs."""
+    merged = connected_components(good.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    merged = merged.select(F.col("node").alias("label"), F.col("component").alias("to"))
+    rest = [c for c in rows.columns if c != "label"]
+    return rows.join(merged, "label", "left").select(*rest, F.coalesce("to", "label").alias("label"))
 
 
 def _apart(other: Callable[[str], Column]) -> Column:
@@ -229,9 +238,27 @@ def _may_link(n: Column, apart: Column) -> Column:
     return (own * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= own * NUMERATOR) & (apart * many <= (own + n) * few)
 
 
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """(cid, label, other, its) of members of an entry that differ in label and may link.
+
+    A pair has as many entries in common as its passages have shingles. Each row
+    carries the LEAST smallest entries of its class; where two classes have one
+    of them in common, they meet there and not in a larger entry.
+    """
+    least = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list("entry")), 1, LEAST).alias("least"))
+    rows = rows.join(least, "cid")
+    names = {"entry": "meet", "cid": "other", "label": "its", "n": "m", "least": "other_least"} | {x: f"other_{x}" for x in BITMAP}
+    others = rows.select(*(F.col(a).alias(b) for a, b in names.items()))
+    rows = rows.withColumn("before", F.filter("least", lambda v: v < F.col("entry"))).drop("least")
+    may = _may_link(F.col("m"), _apart(lambda x: F.col(f"other_{x}")))
+    met = F.arrays_overlap("before", "other_least")
+    key = (F.col("entry") == F.col("meet")) & (F.col("label") < F.col("its")) & may & ~met
+    return rows.join(others, key).select("cid", "label", "other", "its")
+
+
 def _links(entries: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links that connect all classes which linked pairs connect."""
-    links, rows = None, _labelled(entries, None)
+    links, rows = None, _live(entries.withColumn("label", F.col("cid")))
     for turn in range(HUB_TURNS + 1):
         if rows.isEmpty():
             break
@@ -239,18 +266,16 @@ def _links(entries: DataFrame, sets: DataFrame) -> DataFrame | None:
             hub = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "label", "n", *BITMAP)
             meets = rows.join(rows.groupBy("entry").agg(F.min(hub).alias("hub")), "entry").where("label <> hub.label")
             apart = _apart(lambda x: F.col(f"hub.{x}"))
-            near = meets.where(_may_link(F.col("hub.n"), apart)).select("cid", F.struct(apart.alias("apart"), "hub.cid").alias("hub"))
-            pairs = near.groupBy("cid").agg(F.min("hub").alias("hub")).select("cid", F.col("hub.cid").alias("other"))
+            nearest = F.struct(apart.alias("apart"), "hub.cid", "hub.label").alias("hub")
+            near = meets.where(_may_link(F.col("hub.n"), apart)).select("cid", "label", nearest)
+            pairs = near.groupBy("cid", "label").agg(F.min("hub").alias("hub")).select("cid", "label", F.col("hub.cid").alias("other"), F.col("hub.label").alias("its"))
         else:  # all pairs of different components
-            names = {"cid": "other", "label": "its", "n": "m"} | {x: f"other_{x}" for x in BITMAP}
-            others = rows.select("entry", *(F.col(a).alias(b) for a, b in names.items()))
-            may = _may_link(F.col("m"), _apart(lambda x: F.col(f"other_{x}")))
-            pairs = rows.join(others, (rows["entry"] == others["entry"]) & (F.col("label") < F.col("its")) & may).select("cid", "other")
-        pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+            pairs = _all_pairs(rows)
+        pairs = pairs.select(F.col("cid").alias("a"), F.col("other").alias("b"), F.col("label").alias("la"), F.col("its").alias("lb")).distinct()
         good = stage(_verified(pairs, sets))
         links = good if links is None else links.union(good)
         if turn < HUB_TURNS:
-            rows = _labelled(rows.drop("label"), links)
+            rows = _live(_relabelled(rows, good))
     return links
 
 
