@@ -376,3 +376,66 @@ def test_yearly_correlation_takes_all_years_and_measures(spark):
     assert {r["measure"] for r in got} == set(agg.YEARLY_MEASURES) and len(agg.YEARLY_MEASURES) == 11
     assert {(r["year"], r["later_year"]) for r in got} == {(a, b) for a in range(1995, 2002) for b in range(a + 1, 2002)}
     assert len(got) == 11 * 21
+
+
+def test_sparse_dummies_have_no_limit(spark):
+    """More levels than columns could hold; numbers are dense within a family and null is no level."""
+    from dosewise.operators.derive import level_dictionary, sparse_dummies
+
+    rows = [(i % 50, "pack", f"l{i}") for i in range(3000)] + [(1, "pack", "l1"), (7, "kind", "a"), (8, "kind", None)]
+    df = spark.createDataFrame(rows, "p_id long, family string, level string")
+    numbers = {(r["family"], r["level"]): r["number"] for r in level_dictionary(df).collect()}
+    assert sorted(n for (f, _), n in numbers.items() if f == "pack") == list(range(3000)) and numbers["kind", "a"] == 0
+    got = {(r["p_id"], r["family"]): (r["width"], r["numbers"]) for r in sparse_dummies(df).collect()}
+    assert got[7, "kind"] == (1, [0]) and (8, "kind") not in got
+    for p in range(50):
+        assert got[p, "pack"] == (3000, sorted(numbers["pack", f"l{i}"] for i in range(p, 3000, 50)))
+
+
+def test_rarest_products_without_a_limit(spark):
+    from dosewise.operators.aggregate import drop_rare_products
+
+    rows = [("a", 1), ("a", 2), ("b", 1), ("b", 1), ("c", 3), ("d", 1), ("d", 2), ("d", 3)]
+    df = spark.createDataFrame(rows, "prod string, p_id long")
+    assert {r["prod"] for r in drop_rare_products(df, None).collect()} == {"a", "d"}
+    assert {r["prod"] for r in drop_rare_products(df, 2).collect()} == {"d"}
+
+
+def test_covariates_from_a_list_table(spark):
+    from dosewise.plans.modelling import listed_covariates
+
+    table = spark.createDataFrame([("x", 1), ("y", 0), ("z", 1), ("x", 1)], "variable string, use int")
+    assert listed_covariates(table) == ["x", "z"]
+
+
+def test_summary_by_a_list_of_types(spark):
+    """Text read as dates and numbers; what can't be read counts but has no statistics."""
+    from dosewise.operators.profiles import table_summary
+
+    rows = [("2020-01-01 10:00", "1,000", "x"), ("2020-01-04", "2.5", "X"), ("unknown", "no number", " "), (None, "2.5", None)]
+    df = spark.createDataFrame(rows, "day string, amount string, word string")
+    got = {r["variable"]: r for r in table_summary(df, types={"amount": "number", "day": "date", "word": "text"}).collect()}
+    day, amount, word = got["day"], got["amount"], got["word"]
+    assert (day["available"], day["sentinel"], day["blank"], day["range"], day["type"]) == (2, 1, 1, 3.0, "Date")
+    assert [str(day[f"{m}_date"]) for m in ("min", "max", "mean", "median")] == ["2020-01-01", "2020-01-04", "2020-01-02", "2020-01-02"]
+    assert (amount["available"], amount["distinct_values"], amount["min"], amount["max"], amount["median"]) == (4, 3, 2.5, 1000.0, 2.5)
+    assert (word["available"], word["blank"], word["distinct_values"], word["min"]) == (2, 2, 2, None)
+    with pytest.raises(ValueError):
+        table_summary(df, types={"day": "stamp"})
+
+
+def test_yearly_moments_without_enough_patients(spark):
+    """A single patient has no correlation; a patient's missing measure leaves only that pair out."""
+    from dosewise.operators.aggregate import yearly_correlation
+
+    cols = "p_id long, transactiondate int, shortcode long, doc_speciality string, ddms_pha int, fcc long, atc string, otc string, units double, rsp double, doc_gender int, transactiontype int, dci_vos int, capped_days_treatment int"
+    make = lambda p, day, n, g: [(p, day, i, "11", 1, i, "A", "N", 1.0, 2.0 + n, g, 1, 0, 5) for i in range(n)]
+    one = make(1, 20200105, 2, 1) + make(1, 20210105, 3, 1)
+    alone = yearly_correlation(spark.createDataFrame(one, cols)).collect()
+    assert all(r["corr_years"] is None for r in alone) and len(alone) == 11
+    more = one + make(2, 20200105, 4, None) + make(2, 20210105, 5, 2) + make(3, 20200105, 6, 2) + make(3, 20210105, 1, 1)
+    got = {r["measure"]: r["corr_years"] for r in yearly_correlation(spark.createDataFrame(more, cols)).collect()}
+    import numpy as np
+
+    assert got["cnt_tx"] == pytest.approx(np.corrcoef([2, 4, 6], [3, 5, 1])[0, 1])
+    assert got["mean_doc_gender"] is None  # constant in the later year over the two patients that have both
