@@ -31,6 +31,8 @@ from dosewise.session import scratch_dir, stage
 END_ID = 0
 #: Pieces of text whose ids a Python worker keeps, twice.
 KEPT_PIECES = 500_000
+#: Pieces that are encoded in one text.
+JOINED = 2000
 
 #: Lengths that a control byte stands for.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -58,6 +60,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Ids are kept in two bytes where the vocabulary allows.
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # bytes of each token: byte-level vocabularies write one character a byte
+        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        sizes |= {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.lengths = np.zeros(max(sizes) + 1, np.int64)
+        self.lengths[list(sizes)] = list(sizes.values())
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -68,14 +75,31 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
             wanted = set(chain.from_iterable(cut))
         again = {p: self.old[p] for p in wanted if p in self.old}
-        new = list(wanted.difference(again))
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         known = self.young
         known.update(again)
-        one = "H" if self.kind == "<u2" else "I"
-        known.update((p, struct.pack(f"<{len(i)}{one}", *i)) for p, i in zip(new, (e.ids for e in coded), strict=True))
+        known.update(self._encoded(list(wanted.difference(again))))
         return [np.frombuffer(b"".join(map(known.__getitem__, own)), self.kind) for own in cut]
 
+    def _encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids. Pieces that start with white space and end with
+        something else are encoded many in a text, and told apart by the tokens' bytes."""
+        inner = [p for p in new if p and p[0] in WHITE and p[-1] not in WHITE]
+        ends = np.cumsum([len(p.encode()) for p in inner])
+        texts = ["".join(inner[i : i + JOINED]) for i in range(0, len(inner), JOINED)]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in coded)])
+        upto = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(upto, ends)
+        apart = inner and (at[-1] != len(upto) - 1 or (upto[at] != ends).any())
+        if not apart:
+            raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            stops = ((at + 1) * width).tolist()
+            yield from ((p, raw[a:b]) for p, a, b in zip(inner, [0, *stops], stops, strict=False))
+        rest = new if apart else [p for p in new if not p or p[0] not in WHITE or p[-1] in WHITE]
+        one = "H" if self.kind == "<u2" else "I"
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield p, struct.pack(f"<{len(e.ids)}{one}", *e.ids)
+
 
 _encoders: dict[str, PieceEncoder] = {}
 

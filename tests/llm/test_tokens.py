@@ -148,3 +148,13 @@ def test_mixture_nulls_repeats_and_empty(spark):
 
 def test_crc_of_ids_is_that_of_little_endian_words():
     assert zlib.crc32(np.array([1, 70_000], "<u4").tobytes()) == zlib.crc32(bytes([1, 0, 0, 0, 112, 17, 1, 0]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abrevls \n\u3000'!.09éß日<|endoftext|>"), max_size=30), max_size=12))
+def test_pieces_encoded_together_have_their_own_ids(texts):
+    encoder = id_files.PieceEncoder(PATH)
+    texts = [*texts, *HAND]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == want
