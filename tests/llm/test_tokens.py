@@ -116,6 +116,24 @@ def test_shards(spark):
     assert 0.42 < rises < 0.58  # a random order rises half of the time
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    rows = [(i, "t" * rng.randrange(300), "s") for i in range(400)] + [(None, None, "s")] * 30 + [(7, "same", "s")] * 9000
+    got = []
+    for parts, shuffles in ((3, "8"), (17, "31")):
+        path = scratch_dir(spark)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            write_shards(table(spark, rows).repartition(parts), path, bucket_bytes=10_000)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        got.append({(r["shard"], r["slot"]): (r["doc_id"], r["text"]) for r in spark.read.parquet(path).collect()})
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert Counter(got[0].values()) == Counter((i, t) for i, t, _ in rows)
+    hot = Counter(shard for (shard, _), (i, t) in got[0].items() if (i, t) == (7, "same"))
+    assert len(hot) == 24 and max(hot.values()) <= -(-len(rows) // 24)  # repeated rows are spread
+
+
 def test_shards_of_an_empty_table(spark):
     write_shards(table(spark, []), scratch_dir(spark))
 
