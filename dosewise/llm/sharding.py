@@ -6,9 +6,9 @@ itself (Fisher-Yates, Spark's shuffle function with a seed) and writes it. The
 buckets one after the other are a random order of all records, and shard s of S
 gets the s-th S-th of it, so counts differ by one at most.
 
-The order depends on the rows and the seed alone: buckets are dealt to a number
-of partitions that follows from the data, and a partition draws for its buckets
-in their order, so other partitions of the input, other settings and repeated
+The order depends on the rows and the seed alone: buckets are dealt in turn to a
+number of partitions that follows from the data, and a partition draws for its
+buckets in their order, so other partitions of the input, other settings and repeated
 tasks give the same shards.
 """
 
@@ -70,6 +70,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_of = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(record_size()), F.lit(0)).alias("bytes")).first()
     total, buckets = all_of["n"], -(-all_of["bytes"] // bucket_bytes) or 1
+    homes = min(buckets, PARTITIONS)
     bucket = F.pmod(F.xxhash64("doc_id", "text", "copy", F.lit(seed)), F.lit(buckets))
     scattered = _numbered(rows).select("doc_id", "text", bucket.alias("bucket"))
     # the base of a bucket travels with its rows, so no second join or shuffle moves them
@@ -77,8 +78,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     shuffled = (
         scattered.withColumn("base", F.lit(None).cast("long"))
         .unionByName(bases)
-        .repartition(min(buckets, PARTITIONS), "bucket")
-        .groupBy("bucket")
+        .withColumn("home", F.expr(f"cast(bucket % {homes} as int)"))
+        .repartitionById(homes, "home")
+        .groupBy("home", "bucket")
         .agg(
             F.max("base").alias("base"),
             F.sort_array(F.collect_list(F.when(F.col("base").isNull(), F.struct("doc_id", "text")))).alias("rows"),
