@@ -9,8 +9,9 @@ language is the one with the largest mean probability, which is its score.
 The field is trained on the driver by gradient ascent on a sample bounded by
 TRAIN_ROWS, on chains that join stretches of several documents so that
 transitions are learned too. Prediction reads every text whole: texts are cut in
-segments, each segment becomes a matrix from the state before it to the one
-after, the matrices are chained, and the probabilities inside follow.
+segments; where a text has several, each becomes a matrix from its first state
+to its last, the matrices are chained, and vectors then run inside all segments.
+A word takes room for its labels, a segment of a long text for their square.
 """
 
 from __future__ import annotations
@@ -108,7 +109,11 @@ def _weights(score: np.ndarray) -> np.ndarray:
 
 
 def messages(score: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages of each word, up to a factor."""
+    """Forward and backward messages of each word, up to a factor.
+
+    All segments run side by side, as vectors. Only those of chains longer than
+    a segment become matrices first, one for each segment, to be chained.
+    """
     k = score.shape[1]
     weight = _weights(score)
     move = np.exp(transitions - transitions.max()).astype(np.float32)
@@ -118,47 +123,61 @@ def messages(score: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> t
     place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     begin = first[owner] + place * SEGMENT
     length = np.minimum(SEGMENT, counts[owner] - place * SEGMENT)
+    arrive, leave = _ends(weight, move, begin, length, place, pieces[owner])
     order = np.argsort(-length, kind="stable")
-    begin, length, owner, place = begin[order], length[order], owner[order], place[order]
-    ahead = np.zeros((len(score), k, k), np.float32)  # from the state before the segment to each word
-    back = np.zeros((len(score), k, k), np.float32)  # from each word to the state after the segment
+    begin, length, arrive, leave = begin[order], length[order], arrive[order], leave[order]
+    forward, backward = np.empty_like(weight), np.empty_like(weight)
     active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
-    now = np.broadcast_to(np.eye(k, dtype=np.float32), (len(begin), k, k))
+    now = arrive
     for t, n in enumerate(active):
-        now = (now[:n].reshape(-1, k) @ move).reshape(n, k, k) * weight[begin[:n] + t][:, None, :]
+        now = now[:n] * weight[begin[:n] + t]
         if t % 8 == 7:
-            now = now / now.max(axis=(1, 2), keepdims=True)
-        ahead[begin[:n] + t] = now
-    last = begin + length - 1
-    now = np.zeros((0, k, k), np.float32)
+            now /= now.max(axis=1, keepdims=True)
+        forward[begin[:n] + t] = now
+        now = now @ move
+    now = leave[:0]
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
-        if n > len(now):
-            now = np.concatenate([now, np.broadcast_to(np.eye(k, dtype=np.float32), (n - len(now), k, k))])
+        now = np.concatenate([now, leave[len(now) : n]])  # segments that end here
+        if t % 8 == 7:
+            now /= now.max(axis=1, keepdims=True)
+        backward[begin[:n] + t] = now
+        now = (now * weight[begin[:n] + t]) @ move.T
+    return forward, backward
+
+
+def _ends(
+    weight: np.ndarray, move: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, pieces: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The forward vector moved into the first word of each segment, the backward vector at its last word.
+
+    Segments come in the order of their chains, place counts those of a chain
+    and pieces tells how many it has.
+    """
+    k = len(move)
+    arrive, leave = np.ones((len(begin), k), np.float32), np.ones((len(begin), k), np.float32)
+    many = np.flatnonzero(pieces > 1)
+    if not len(many):
+        return arrive, leave
+    many = many[np.argsort(-length[many], kind="stable")]
+    matrix = weight[begin[many]][:, :, None] * np.eye(k, dtype=np.float32)
+    for t in range(1, int(length[many[0]])):
+        n = int(np.searchsorted(-length[many], -t, side="left"))
+        matrix[:n] = (matrix[:n].reshape(-1, k) @ move).reshape(n, k, k) * weight[begin[many[:n]] + t][:, None, :]
         if t % 8 == 7:
-            now = now / now.max(axis=(1, 2), keepdims=True)
-        back[begin[:n] + t] = now
-        now = np.matmul(move * weight[begin[:n] + t][:, None, :], now)
-    before = np.full((len(begin), k), 1 / k, np.float32)
-    after = np.ones((len(begin), k), np.float32)
-    index = np.full((len(counts), int(place.max()) + 1), -1)
-    index[owner, place] = np.arange(len(begin))
-    for p in range(1, index.shape[1]):
-        here = index[index[:, p] >= 0, p]
-        prior = index[owner[here], p - 1]
-        x = np.einsum("ni,nij->nj", before[prior], ahead[last[prior]])
-        before[here] = x / x.sum(axis=1, keepdims=True)
-    for p in range(index.shape[1] - 2, -1, -1):
-        here = index[index[:, p + 1] >= 0, p]
-        following = index[owner[here], p + 1]
-        whole = np.matmul(move * weight[begin[following]][:, None, :], back[begin[following]])
-        x = np.einsum("nij,nj->ni", whole, after[following])
-        after[here] = x / x.sum(axis=1, keepdims=True)
-    segment = np.zeros(len(score), np.int64)
-    segment[begin] = 1
-    by_place = np.argsort(begin)
-    segment = by_place[np.cumsum(segment) - 1]
-    return np.einsum("ni,nij->nj", before[segment], ahead), np.einsum("nij,nj->ni", back, after[segment])
+            matrix[:n] /= matrix[:n].max(axis=(1, 2), keepdims=True)
+    row = np.full(len(begin), -1)
+    row[many] = np.arange(len(many))
+    many = many[np.argsort(place[many], kind="stable")]
+    cuts = np.searchsorted(place[many], np.arange(int(place[many[-1]]) + 2))
+    steps = [many[cuts[p] : cuts[p + 1]] for p in range(1, len(cuts) - 1)]  # segments that follow another
+    for here in steps:
+        x = np.einsum("ni,nij->nj", arrive[here - 1], matrix[row[here - 1]])
+        arrive[here] = x / x.sum(axis=1, keepdims=True) @ move
+    for here in reversed(steps):
+        x = np.einsum("nij,nj->ni", matrix[row[here]], leave[here])
+        leave[here - 1] = x / x.sum(axis=1, keepdims=True) @ move.T
+    return arrive, leave
 
 
 def train(texts: list[str], langs: list[str]) -> Model:
