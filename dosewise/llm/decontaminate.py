@@ -55,7 +55,7 @@ def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _item_prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for item, own in zip(batch.column("item_id"), batch.column("item_words"), strict=True):
+        for item, key, own in zip(*(batch.column(x) for x in ("item_id", "item_key", "item_words")), strict=True):
             h = own.values.to_numpy().view(np.uint64)
             n = len(h)
             if n >= WINDOW:
@@ -65,24 +65,24 @@ def _item_prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([item.as_py()] * len(hashes), pa.int64()),
+                    pa.array([key.as_py()] * len(hashes), pa.int64()),
                     signed(hashes),
                     pa.array(places.astype(np.int32)),
-                    pa.array([own.as_py()] * len(hashes), pa.list_(pa.int64())),
                 ],
-                ["item_id", "print", "item_pos", "item_words"],
+                ["item_id", "item_key", "print", "item_pos"],
             )
 
 
 def _doc_prints(lengths: list[int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            keys = part.column("doc_key").to_numpy(zero_copy_only=False)
             w = words(part.column("text"), ALNUM, lower=True)
             hashes, places = _prints(w.hash, w.first, lengths)
             owner = np.searchsorted(w.first, places, side="right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner].astype(np.int64)), signed(hashes), pa.array((places - w.first[owner]).astype(np.int32))],
-                ["doc_id", "print", "pos"],
+                [pa.array(keys[owner].astype(np.int64)), signed(hashes), pa.array((places - w.first[owner]).astype(np.int32))],
+                ["doc_key", "print", "pos"],
             )
 
     return prints
@@ -154,19 +154,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False) ->
         benchmark.where("item_id is not null")
         .select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_item_words, "item_id long, item_words array<long>")
-        .where(F.size("item_words") > 0).distinct()
+        .where(F.size("item_words") > 0).distinct().withColumn("item_key", F.xxhash64("item_words"))
     )
-    prints = stage(items.mapInArrow(_item_prints, "item_id long, print long, item_pos int, item_words array<long>"))
+    prints = stage(items.mapInArrow(_item_prints, "item_id long, item_key long, print long, item_pos int"))
     short = items.where(F.size("item_words") < WINDOW).select(F.size("item_words").alias("n")).distinct()
     lengths = sorted(r["n"] for r in short.collect())  # at most WINDOW - 1 numbers
-    nameless = F.lit(-(1 << 63))  # meetings of rows without id are offered to all of them, and checked word by word
-    keyed = docs.withColumn("doc_id", F.coalesce("doc_id", nameless))
+    # rows meet by id and text; each checks its meetings word by word
+    keyed = docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
     meets = (
-        keyed.select("doc_id", "text").mapInArrow(_doc_prints(lengths), "doc_id long, print long, pos int")
+        keyed.select("doc_key", "text").mapInArrow(_doc_prints(lengths), "doc_key long, print long, pos int")
         .join(prints, "print")
-        .groupBy("doc_id", "item_id", "item_words")
-        .agg(F.collect_list(F.struct("pos", "item_pos")).alias("at"))
-        .groupBy("doc_id")
+        .groupBy("doc_key", "item_id", "item_key")
+        .agg(F.collect_set(F.struct("pos", "item_pos")).alias("at"))
+        .join(items.hint("merge"), ["item_id", "item_key"])  # the words of an item once for each document it meets
+        .groupBy("doc_key")
         .agg(
             F.collect_list(
                 F.struct("item_id", "item_words", F.col("at.pos").alias("pos"), F.col("at.item_pos").alias("item_pos"))
@@ -175,8 +176,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False) ->
     )
     carried = f"rest {keyed.schema['rest'].dataType.simpleString()}, " if carry else ""
     return (
-        keyed.join(stage(meets).hint("merge"), "doc_id", "left")  # of any size: the plan is the same for all
-        .select(F.nullif("doc_id", nameless).alias("doc_id"), "text", *(["rest"] if carry else []), "meets")
+        keyed.join(stage(meets).hint("merge"), "doc_key", "left")  # of any size: the plan is the same for all
+        .select("doc_id", "text", *(["rest"] if carry else []), "meets")
         .mapInArrow(
             _extents,
             f"doc_id long, text string, {carried}n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>",

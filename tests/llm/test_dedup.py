@@ -126,6 +126,14 @@ def test_contamination(spark):
     assert got == brute.contamination(docs, bench)
 
 
+def test_contamination_by_a_very_long_item(spark):
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(30_000)}" for _ in range(100_000)]
+    docs = [(1, " ".join(item)), (2, "a b " + " ".join(item[70_000:70_050]) + " c d"), (3, " ".join(item[::-1][:500])), (None, " ".join(item[500:509]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in contamination(table(spark, docs), items(spark, [(4, " ".join(item))])).collect()}
+    assert got == {1: (100_000, 100_000, ["4"]), 2: (54, 50, ["4"]), 3: (500, 0, []), None: (9, 0, [])}
+
+
 def test_contamination_repeated_rows_nulls_and_empty(spark):
     long = " ".join(f"w{i}" for i in range(20))
     rows = [(None, long), (None, "clean"), (2, long), (2, "clean"), (3, None)]
