@@ -15,6 +15,8 @@ from dosewise.plans.model_table import model_table
 from dosewise.plans.pdc import PdcSettings, build_pdc
 from dosewise.sources import persist_stage
 
+# all products count, as in the SQL
+WHOLE = PdcSettings(codes=CODES, rare_limit=0)
 # the rarest product goes, so that the step acts at every size
 SETTINGS = PdcSettings(codes=CODES, rare_limit=None)
 PERCENTS = (5, 10, 25, 50, 75, 90, 95)
@@ -106,15 +108,17 @@ def coverage_episodes(t, c):
     return rounded(out, ["episend", "days_covered", "cum_days_covered"])
 
 
+PFILL_SQL = """pfill as (select r.p_id, r.index_date, r.trans_date, substr(r.atc,1,4) as atc3, r.units, coalesce(k.median_duration, m.median_duration) as median_duration
+ from (select * from indexed where trans_date<index_date and trans_date>=index_date-360 and substr(atc,1,4) in ('A02B','C07A','C09A','A10J')) r
+ left join pack_cap k on r.fcc=k.fcc and r.prod=k.prod left join prod_cap m on r.prod=m.prod
+ where coalesce(k.median_duration, m.median_duration) is not null)"""
+PDC_SQL = f"{FILLS_SQL}, {CAPPED_SQL},\n{PFILL_SQL}"
 RARE_SQL = """rare as (select prod from (select prod, n, min(n) over () as fewest from
  (select prod, count(distinct p_id) as n from all_fills group by prod)) where n = fewest),
 fills as (select * from all_fills where prod not in (select prod from rare)),
 gaps as ("""
-PDC_SQL = f"""{FILLS_SQL.replace('fills as (', 'all_fills as (').replace('gaps as (', RARE_SQL, 1)}, {CAPPED_SQL},
-pfill as (select r.p_id, r.index_date, r.trans_date, substr(r.atc,1,4) as atc3, r.units, coalesce(k.median_duration, m.median_duration) as median_duration
- from (select * from indexed where trans_date<index_date and trans_date>=index_date-360 and substr(atc,1,4) in ('A02B','C07A','C09A','A10J') and prod not in (select prod from rare)) r
- left join pack_cap k on r.fcc=k.fcc and r.prod=k.prod left join prod_cap m on r.prod=m.prod
- where coalesce(k.median_duration, m.median_duration) is not null)"""
+NO_RARE_SQL = f"""{FILLS_SQL.replace('fills as (', 'all_fills as (').replace('gaps as (', RARE_SQL, 1)}, {CAPPED_SQL},
+{PFILL_SQL.replace("'A10J'))", "'A10J') and prod not in (select prod from rare))")}"""
 BY_CLASS_SQL = "bought as (select atc3, p_id, index_date, trans_date, sum(median_duration*units) as actual_duration from pfill group by all)"
 PDC_OUT = "select atc3, p_id, round(days_covered,6) as days_covered, total_n_days, round(pdc,6) as pdc from pdc"
 
@@ -130,13 +134,13 @@ def pdc_rounded(df):
 
 @query("pdc_by_class", PDC_OUT, f"{PDC_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')}")
 def pdc_by_class(t, c):
-    return pdc_rounded(build_pdc(pdc_rows(c), SETTINGS))
+    return pdc_rounded(build_pdc(pdc_rows(c), WHOLE))
 
 
 @query(
     "pdc_all_classes",
     PDC_OUT,
-    f"{PDC_SQL}, {BY_CLASS_SQL.replace('select atc3,', 'select cast(4 as varchar)||$$ ATC3$$ as atc3,')}, {EPISODES_SQL.format(daily='bought')}",
+    f"{NO_RARE_SQL}, {BY_CLASS_SQL.replace('select atc3,', 'select cast(4 as varchar)||$$ ATC3$$ as atc3,')}, {EPISODES_SQL.format(daily='bought')}",
 )
 def pdc_all_classes(t, c):
     return pdc_rounded(build_pdc(pdc_rows(c), SETTINGS, "4 ATC3"))
@@ -145,7 +149,7 @@ def pdc_all_classes(t, c):
 @query(
     "pdc_build",
     "select atc3, count(*) as n_patients, round(avg(pdc),6) as mean_pdc, count(*) filter (pdc>0 and pdc<=1+1e-9) as in_range from pdc group by atc3",
-    f"{PDC_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')}",
+    f"{NO_RARE_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')}",
 )
 def pdc_build(t, c):
     pdc = build_pdc(pdc_rows(c), SETTINGS)
@@ -204,7 +208,7 @@ def compliance_persistence(t, c):
 # ---- model table -----------------------------------------------------------------------------
 
 _codes = CODES.split()
-MODEL_SQL = f"""{PDC_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')},
+MODEL_SQL = f"""{NO_RARE_SQL}, {BY_CLASS_SQL}, {EPISODES_SQL.format(daily='bought')},
 bought_all as (select 'ALL' as atc3, p_id, index_date, trans_date, sum(median_duration*units) as actual_duration from pfill group by all),
 {EPISODES_SQL.format(daily='bought_all').replace('first_rx as', 'first_all as').replace('join first_rx', 'join first_all').replace('epis as', 'epis_all as').replace('from epis', 'from epis_all').replace('pdc as (', 'pdc_all as (')},
 {COMPLIANCE_SQL},

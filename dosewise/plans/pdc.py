@@ -24,22 +24,22 @@ from dosewise.sources import code_list_filter, persist_stage
 class PdcSettings:
     # fixed values: the twenty therapy classes
     codes: str = "A02B C07A B01C N05C N06A C03A M02A C08A C09A A10J R06A R03F H03A R03G N05A C09B N03A C07B C09C C09D"
-    #: products of so few patients are left out; None: those with the fewest
+    #: products of so few patients are left out; 0: none are, None: those with the fewest
     rare_limit: int | None = 5
     window_days: int | None = 360
     lookback_days: int = 60
     dedup_products: bool = True
 
 
-def durations(rows: DataFrame, s: PdcSettings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rare products, and capped median durations by pack and by product.
+def durations(rows: DataFrame, s: PdcSettings) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Rare products (None: no limit on them), and capped median durations by pack and by product.
 
     The distinct fills feed three steps and the medians (one row per pack or
     product) two each, so they are written once.
     """
     fills = persist_stage(code_list_filter(atc_levels(rows), s.codes))
-    rare = rare_products(fills, s.rare_limit)
-    kept = anti_join(fills, rare, "prod")
+    rare = None if s.rare_limit == 0 else rare_products(fills, s.rare_limit)
+    kept = fills if rare is None else anti_join(fills, rare, "prod")
     pack = winsorize(persist_stage(median_gap_pack(kept)), "median_duration")
     product = winsorize(persist_stage(median_gap_product(kept, s.dedup_products)), "median_duration")
     return rare, pack, product
@@ -54,7 +54,9 @@ def fills_with_duration(rows: DataFrame, s: PdcSettings) -> DataFrame:
     before = pre_index_window(atc_levels(rows), s.window_days)
     before = before.where(F.col("atc3").isin(s.codes.split()))
     before = before.select("p_id", "index_date", "trans_date", "prod", "fcc", "atc3", "units")
-    return fallback_lookup(anti_join(before, rare, "prod"), pack, product)
+    if rare is not None:
+        before = anti_join(before, rare, "prod")
+    return fallback_lookup(before, pack, product)
 
 
 def covered(fills: DataFrame, settings: PdcSettings = PdcSettings(), all_classes: str | None = None) -> DataFrame:
