@@ -140,10 +140,10 @@ def pdc_by_class(t, c):
 @query(
     "pdc_all_classes",
     PDC_OUT,
-    f"{NO_RARE_SQL}, {BY_CLASS_SQL.replace('select atc3,', 'select cast(4 as varchar)||$$ ATC3$$ as atc3,')}, {EPISODES_SQL.format(daily='bought')}",
+    f"{PDC_SQL}, {BY_CLASS_SQL.replace('select atc3,', 'select cast(4 as varchar)||$$ ATC3$$ as atc3,')}, {EPISODES_SQL.format(daily='bought')}",
 )
 def pdc_all_classes(t, c):
-    return pdc_rounded(build_pdc(pdc_rows(c), SETTINGS, "4 ATC3"))
+    return pdc_rounded(build_pdc(pdc_rows(c), WHOLE, "4 ATC3"))
 
 
 @query(

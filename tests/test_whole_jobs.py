@@ -11,7 +11,7 @@ from dosewise.plans.pdc import build_pdc
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("key", ["pdc_by_class"])
+@pytest.mark.parametrize("key", ["pdc_by_class", "pdc_all_classes"])
 def test_pdc_counts_every_product(spark, tables, key):
     assert "rare" not in ORACLES[key]
     got = QUERIES[key](spark, FOLDER)
