@@ -1,10 +1,12 @@
 """Queries whose job was once smaller or slower than the whole one."""
 
+import numpy as np
 import pytest
 from check import compare, connect
 
 from dosewise.bindings import ORACLES, QUERIES
 from dosewise.bindings.adherence_queries import SETTINGS, pdc_rows
+from dosewise.operators import forest, model
 from dosewise.plans.cohort import Cohort
 from dosewise.plans.pdc import build_pdc
 
@@ -18,3 +20,19 @@ def test_pdc_counts_every_product(spark, tables, key):
     assert compare(got, connect(FOLDER), ORACLES[key]).startswith("ok")
     without = build_pdc(pdc_rows(Cohort(tables)), SETTINGS, None if key == "pdc_by_class" else "4 ATC3")
     assert got.agg({"days_covered": "sum"}).first()[0] > without.agg({"days_covered": "sum"}).first()[0]
+
+
+def test_a_forest_fitted_in_parts_is_one_forest(spark, monkeypatch):
+    data = [(i, int(i % 7 > 2), float(i % 7), float(i % 5)) for i in range(140)]
+    rows = spark.createDataFrame(data, "id int, response int, a double, b double")
+    sizes = []
+    real = model.fit_forest
+    monkeypatch.setattr(model, "PART", 4)
+    monkeypatch.setattr(model, "fit_forest", lambda rows, n, *args, **kw: sizes.append(n) or real(rows, n, *args, **kw))
+    trees, importance = model.fit_forest_parts(model.with_vector(rows, ["a", "b"]), 10, 1, 5, 2, depth=4)
+    assert sorted(sizes) == [2, 4, 4] and len(trees.root) == 10
+    assert importance.sum() == pytest.approx(1) and importance[0] > importance[1]
+    x = np.array([[r[2], r[3]] for r in data])
+    by_tree = forest.tree_scores(trees, x, np.arange(10)).mean(axis=1)
+    got = {r["id"]: r["score"] for r in model.forest_scores(trees, rows, ["a", "b"], ("id",)).collect()}
+    assert [got[r[0]] for r in data] == pytest.approx(list(by_tree))
