@@ -36,3 +36,12 @@ def test_a_forest_fitted_in_parts_is_one_forest(spark, monkeypatch):
     by_tree = forest.tree_scores(trees, x, np.arange(10)).mean(axis=1)
     got = {r["id"]: r["score"] for r in model.forest_scores(trees, rows, ["a", "b"], ("id",)).collect()}
     assert [got[r[0]] for r in data] == pytest.approx(list(by_tree))
+
+
+def test_importance_of_a_forest_fitted_in_parts(spark, monkeypatch):
+    """Few rows are dealt to many tasks, and every column is shuffled."""
+    monkeypatch.setattr(model, "PART", 4)
+    rows = spark.createDataFrame([(i, int(i % 7 > 2), float(i % 7), float(i % 5)) for i in range(140)], "id int, response int, a double, b double")
+    trees, _ = model.fit_forest_parts(model.with_vector(rows, ["a", "b"]), 8, 2, 5, 2, depth=4)
+    loss = {r["variable"]: r["auc_loss"] for r in model.permutation_importance(trees, rows, ["a", "b"]).collect()}
+    assert loss["a"] > 0.2 > abs(loss["b"])
