@@ -6,7 +6,7 @@ from check import compare, connect
 
 from dosewise.bindings import ORACLES, QUERIES
 from dosewise.bindings.adherence_queries import SETTINGS, pdc_rows
-from dosewise.operators import forest, model
+from dosewise.operators import forest, model, split
 from dosewise.plans.cohort import Cohort
 from dosewise.plans.pdc import build_pdc
 
@@ -45,3 +45,14 @@ def test_importance_of_a_forest_fitted_in_parts(spark, monkeypatch):
     trees, _ = model.fit_forest_parts(model.with_vector(rows, ["a", "b"]), 8, 2, 5, 2, depth=4)
     loss = {r["variable"]: r["auc_loss"] for r in model.permutation_importance(trees, rows, ["a", "b"]).collect()}
     assert loss["a"] > 0.2 > abs(loss["b"])
+
+
+def test_grid_search_fits_forests_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, int(i % 7 > 2), float(i % 7), float(i % 5)) for i in range(280)], "id int, response int, a double, b double")
+    sizes = []
+    real = model.fit_forest
+    monkeypatch.setattr(model, "PART", 4)
+    monkeypatch.setattr(model, "fit_forest", lambda rows, n, *args, **kw: sizes.append(n) or real(rows, n, *args, **kw))
+    grid = [{"ntree": n, "mtry": 1, "nodesize": 5} for n in (3, 6)]
+    report = model.rf_grid_search(split.stratified_split(rows, [1], 0.5, 0.25), ["a", "b"], grid, depth=4).collect()
+    assert sorted(sizes[:2]) == [2, 4] and max(sizes) <= 4 and report[0]["test_auc"] > 0.9
