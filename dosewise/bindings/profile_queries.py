@@ -190,8 +190,9 @@ def table_profile(t, c):
 )
 def compare_tables(t, c):
     columns = ["units", "pack_size", "market", "doc_gender"]
-    subset = t.rx.join(c.index, "p_id", "left_semi").select(columns)
-    return rounded(compare.compare_tables(t.rx.select(columns), subset), ["mean_a", "mean_b", "diff_rate"])
+    c = c.staged(*columns)
+    subset = c.rx.join(c.index, "p_id", "left_semi").select(columns)
+    return rounded(compare.compare_tables(c.rx.select(columns), subset), ["mean_a", "mean_b", "diff_rate"])
 
 
 @query(

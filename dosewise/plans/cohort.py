@@ -26,14 +26,23 @@ class Cohort:
 
     def __init__(self, tables: Tables, start: str = INDEX_START, end: str = INDEX_END):
         self.tables, self.start, self.end = tables, start, end
+        self.rx = tables.rx
+
+    def staged(self, *columns: str) -> Cohort:
+        """The cohort on claims of these columns, joined and written once: rows
+        and index dates both read them."""
+        needed = dict.fromkeys(("p_id", "trans_date", "market", *columns))
+        out = Cohort(self.tables, self.start, self.end)
+        out.rx = persist_stage(self.rx.select(*needed))
+        return out
 
     @cached_property
     def base(self) -> DataFrame:
-        return drop_early_market(self.tables.rx, self.start)
+        return drop_early_market(self.rx, self.start)
 
     @cached_property
     def index(self) -> DataFrame:
-        return agg.index_date(self.tables.rx, self.start, self.end, "window")
+        return agg.index_date(self.rx, self.start, self.end, "window")
 
     @cached_property
     def indexed(self) -> DataFrame:

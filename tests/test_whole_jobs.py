@@ -66,3 +66,8 @@ def test_yearly_groups_travel_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Expand" not in plan
     got = years.where("p_id = 1 and year = 1996").first()
     assert (got.cnt_tx, got.cnt_docs, got.cnt_pharmacies, got.cnt_fcc, got.cnt_otc, got.sum_spending) == (5, 5, 2, 3, 0, 15.0)
+
+
+def test_compare_tables_joins_the_claims_once(spark):
+    read = QUERIES["compare_tables"](spark, FOLDER).inputFiles()
+    assert read and not [f for f in read if "lineitem" in f]  # both sides and the index dates read the staged claims
