@@ -236,6 +236,7 @@ def distinct_rows(t, c):
     "select p_id, fcc, rx_id, trans_date, index_date from indexed where trans_date<index_date and trans_date>=index_date-360",
 )
 def pre_index_window(t, c):
+    c = c.staged("fcc", "rx_id")
     return derive.pre_index_window(c.indexed, 360).select("p_id", "fcc", "rx_id", "trans_date", "index_date")
 
 

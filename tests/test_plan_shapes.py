@@ -121,3 +121,8 @@ def test_stages_are_deleted_on_release(spark):
     path = session._stages[-1].removeprefix("file:")
     assert df.count() == 3 and os.path.exists(path)
     assert session.release_stages(spark, since=before) == 1 and not os.path.exists(path)
+
+
+@pytest.mark.parametrize("key", ["pre_index_window", "semi_join"])
+def test_claims_are_joined_once_for_rows_and_index_dates(spark, key):
+    assert not any("lineitem" in f for f in queries()[key](spark, FOLDER).inputFiles())
