@@ -91,7 +91,8 @@ def match_merge_left(t, c):
 
 @query("semi_join", "select p_id, fcc, rx_id, trans_date from rx where p_id in (select p_id from idx)")
 def semi_join(t, c):
-    return joins.semi_join(t.rx, c.index, "p_id").select("p_id", "fcc", "rx_id", "trans_date")
+    c = c.staged("fcc", "rx_id")
+    return joins.semi_join(c.rx, c.index, "p_id").select("p_id", "fcc", "rx_id", "trans_date")
 
 
 @query(
