@@ -23,8 +23,10 @@ from dosewise.sources.claims import Tables
 
 
 def profile_features(tables: Tables, start: str, stems: Sequence[str], specialties: Sequence[str]) -> DataFrame:
-    """One row per indexed patient of the distinct claims, which are written once."""
-    claims = persist_stage(drop_early_market(tables.rx.distinct(), start))
+    """One row per indexed patient of the distinct claims, of which the columns
+    that are needed are written once."""
+    needed = ("p_id", "trans_date", "market", "doc_speciality", "mol1", "atc", "units", "rsp")
+    claims = persist_stage(drop_early_market(tables.distinct_rx, start).select(*needed))
     index = agg.index_date(claims, start, variant="after_start")
     rows = claims.join(index, "p_id")
     fill = first_per_key(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosewise.functions import date_to_int
@@ -32,6 +32,52 @@ def _recode(c, mapping):
     return out
 
 
+def _line_columns() -> list[Column]:
+    """What a claim has from its line and its order."""
+    return [
+        F.col("o_custkey").alias("p_id"),
+        F.col("o_orderdate").cast("date").alias("trans_date"),
+        F.col("l_partkey").alias("fcc"),
+        F.col("l_returnflag").alias("otc"),
+        (F.col("l_quantity") / 25).alias("units"),
+        F.try_divide("l_extendedprice", "l_quantity").alias("rsp"),
+        F.col("l_suppkey").alias("shortcode"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("transactiontype"),
+        F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("dci_vos"),
+        F.col("l_linenumber").alias("rx_id"),
+    ]
+
+
+def _pack_columns() -> list[Column]:
+    return [
+        F.concat("p_type", F.lit("-"), (F.col("p_partkey") % 5).cast("string")).alias("prod"),
+        _recode(F.col("p_type"), CLASS_ATC).alias("atc"),
+        F.upper("p_name").alias("mol1"),
+        (F.col("p_size") * 4).alias("pack_size"),
+        F.when(F.col("p_type") == "ECONOMY", 1).otherwise(0).alias("market"),
+    ]
+
+
+def _physician_columns() -> list[Column]:
+    return [
+        _recode(F.col("n_regionkey"), REGION_SPECIALTY).alias("doc_speciality"),
+        (F.col("s_suppkey") % 3).cast("int").alias("doc_gender"),
+        F.when(F.col("s_nationkey") % 8 != 0, F.col("s_nationkey")).alias("region_doc"),
+        (F.col("s_suppkey") % 17).cast("int").alias("ddms_pha"),
+    ]
+
+
+def _claim_columns() -> list[Column | str]:
+    """All columns of the claims, those that follow from the date or the patient included."""
+    p_id = F.col("p_id")
+    return [
+        "p_id", "trans_date", date_to_int(F.col("trans_date")).alias("transactiondate"), "fcc", "prod", "atc", "mol1", "otc",
+        "units", "rsp", "pack_size", "market", "shortcode", "doc_speciality", "doc_gender", "region_doc", "ddms_pha",
+        "transactiontype", "dci_vos", F.when(p_id % 11 != 0, (p_id % 2).cast("int")).alias("p_gender"), "rx_id",
+        (p_id * 37 % 361).cast("int").alias("capped_days_treatment"),
+    ]
+
+
 class Tables:
     """The given tables by name, and the claims tables derived from them."""
 
@@ -45,43 +91,35 @@ class Tables:
     @cached_property
     def rx(self) -> DataFrame:
         """Claims: one row per dispensed line."""
-        orders = self.read("orders")
-        part = self.read("part")
-        supplier = self.read("supplier").join(
-            self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey")
-        )
-        day = F.col("o_orderdate").cast("date")
+        part, supplier = self.read("part"), self._suppliers()
         return (
-            self.read("lineitem")
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            self._lines()
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(
-                F.col("o_custkey").alias("p_id"),
-                day.alias("trans_date"),
-                date_to_int(day).alias("transactiondate"),
-                F.col("l_partkey").alias("fcc"),
-                F.concat("p_type", F.lit("-"), (F.col("p_partkey") % 5).cast("string")).alias("prod"),
-                _recode(F.col("p_type"), CLASS_ATC).alias("atc"),
-                F.upper("p_name").alias("mol1"),
-                F.col("l_returnflag").alias("otc"),
-                (F.col("l_quantity") / 25).alias("units"),
-                F.try_divide("l_extendedprice", "l_quantity").alias("rsp"),
-                (F.col("p_size") * 4).alias("pack_size"),
-                F.when(F.col("p_type") == "ECONOMY", 1).otherwise(0).alias("market"),
-                F.col("l_suppkey").alias("shortcode"),
-                _recode(F.col("n_regionkey"), REGION_SPECIALTY).alias("doc_speciality"),
-                (F.col("l_suppkey") % 3).cast("int").alias("doc_gender"),
-                F.when(F.col("s_nationkey") % 8 != 0, F.col("s_nationkey")).alias("region_doc"),
-                (F.col("l_suppkey") % 17).cast("int").alias("ddms_pha"),
-                F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("transactiontype"),
-                F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("dci_vos"),
-                F.when(F.col("o_custkey") % 11 != 0, (F.col("o_custkey") % 2).cast("int")).alias("p_gender"),
-                F.col("l_linenumber").alias("rx_id"),
-                (F.col("o_custkey") * 37 % 361).cast("int").alias("capped_days_treatment"),
-            )
+            .select(*_line_columns(), *_pack_columns(), *_physician_columns())
+            .select(*_claim_columns())
         )
 
+    @cached_property
+    def distinct_rx(self) -> DataFrame:
+        """``rx.distinct()``: a claim is its line and the rows of its pack and its
+        physician, which have their keys, so distinct lines join distinct packs and
+        physicians. What is compared and shuffled is the line alone."""
+        lines = self._lines().select(*_line_columns()).distinct()
+        packs = self.read("part").select("p_partkey", *_pack_columns()).distinct()
+        physicians = self._suppliers().select("s_suppkey", *_physician_columns()).distinct()
+        return (
+            lines.join(packs, F.col("fcc") == F.col("p_partkey"))
+            .join(physicians, F.col("shortcode") == F.col("s_suppkey"))
+            .select(*_claim_columns())
+        )
+
+    def _lines(self) -> DataFrame:
+        return self.read("lineitem").join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def _suppliers(self) -> DataFrame:
+        return self.read("supplier").join(self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+
     @cached_property
     def product_dict(self) -> DataFrame:
         return self.read("part").select(

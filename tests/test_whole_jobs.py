@@ -9,6 +9,7 @@ from dosewise.bindings.adherence_queries import SETTINGS, pdc_rows
 from dosewise.operators import aggregate, forest, model, split
 from dosewise.plans.cohort import Cohort
 from dosewise.plans.pdc import build_pdc
+from dosewise.sources.claims import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,3 +72,15 @@ def test_yearly_groups_travel_once(spark):
 def test_compare_tables_joins_the_claims_once(spark):
     read = QUERIES["compare_tables"](spark, FOLDER).inputFiles()
     assert read and not [f for f in read if "lineitem" in f]  # both sides and the index dates read the staged claims
+
+
+def test_distinct_claims_are_those_of_repeated_tables(tables):
+    class Repeated(Tables):
+        def read(self, name):
+            rows = super().read(name)
+            return rows.union(rows.limit(50)) if name in ("lineitem", "orders", "part", "supplier") else rows
+
+    repeated = Repeated(tables.spark, FOLDER)
+    got, expected = repeated.distinct_rx, repeated.rx.distinct()
+    assert got.schema == expected.schema and got.count() == expected.count() < repeated.rx.count()
+    assert got.exceptAll(expected).isEmpty()
