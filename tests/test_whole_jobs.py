@@ -84,3 +84,8 @@ def test_distinct_claims_are_those_of_repeated_tables(tables):
     got, expected = repeated.distinct_rx, repeated.rx.distinct()
     assert got.schema == expected.schema and got.count() == expected.count() < repeated.rx.count()
     assert got.exceptAll(expected).isEmpty()
+
+
+def test_a_forest_takes_few_fits():
+    """A fit has its own jobs for each level and for its nodes, however few trees it has."""
+    assert model.part_sizes(800) == [100] * 8 and sum(model.part_sizes(1550)) == 1550
