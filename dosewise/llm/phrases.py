@@ -103,6 +103,7 @@ def _batch(portion: int, relation: bytes | None, lang: list[str], word: list[str
 
 
 _NEXT = "portion long, relation binary, bucket int, start int, head binary, tail binary, n binary"
+_WORDS = "id long, lang string, word string, f long, portion long, local binary, ids binary"
 _COUNTED = "id long, head long, tail long, f long, portion long, local binary, ids binary"
 
 
@@ -152,11 +153,7 @@ def _extended(occurrences: DataFrame, found: DataFrame, further: bool, buckets:
         rows: list[tuple] = []
         if left.num_rows:
             portion = left.column("place")[0].as_py()
-            packed = right.column("ids").type == pa.binary()
-            whole = lambda name, kind: (
-                np.concatenate([np.zeros(0, kind), *(expand(x, kind) for x in right.column(name).to_pylist())])
-                if packed else right.column(name).to_numpy().astype(kind)
-            )
+            whole = lambda name, kind: np.concatenate([np.zeros(0, kind), *(expand(x, kind) for x in right.column(name).to_pylist())])
             relation = expand(left.column("relation")[0].as_py(), np.uint32)
             longer, head, tail, n, bucket = extend(relation, whole("local", np.uint32).astype(np.int64), whole("ids", np.int64), further, buckets)
             rows.append((portion, squeeze(longer), None, None, None, None, None))
@@ -170,12 +167,43 @@ def _extended(occurrences: DataFrame, found: DataFrame, further: bool, buckets:
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     fields = [(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
     columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
     return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
+def _counted_words(known: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Group-count of the portions' words by hash bucket: a row (id, lang, word, f) for
+    each frequent one, and for each portion (portion, local, ids) which of its words these are."""
+
+    def counted(rows: pa.Table) -> pa.Table:
+        lang, word = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "word"))
+        key = lang.indices.to_numpy().astype(np.int64) * len(word.dictionary) + word.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=-1) != 0
+        first = np.flatnonzero(new)
+        f = np.add.reduceat(rows.column("n").to_numpy()[order], first)
+        often = f >= least
+        ids = (rows.column("bucket")[0].as_py() << 32) + np.cumsum(often) - 1
+        own = pa.array(order[first[often]])
+        texts = (rows.column(c).take(own).to_pylist() for c in ("lang", "word"))
+        out = [(*x, None, None, None) for x in zip(ids[often].tolist(), *texts, f[often].tolist(), strict=True)]
+        number = np.cumsum(new) - 1
+        hits = np.flatnonzero(often[number])
+        at, id_of = order[hits], ids[number[hits]]
+        portion, local = rows.column("portion").to_numpy()[at], rows.column("local").to_numpy()[at]
+        place = np.argsort(portion, kind="stable")
+        cuts = np.flatnonzero(np.diff(portion[place], prepend=-1, append=-1)).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            mine = place[a:b]
+            out.append((None, None, None, None, int(portion[mine[0]]), squeeze(local[mine].astype(np.uint32)), squeeze(id_of[mine])))
+        return _table(out, _WORDS)
+
+    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)).cast("int").alias("bucket")
+    return known.select(bucket, "portion", "lang", "word", "local", "n").groupBy("bucket").applyInArrow(counted, _WORDS)
+
+
 def _counted(phrases: DataFrame, least: int) -> DataFrame:
     """Group-count of packed phrases: a row (id, head, tail, f) for each frequent
     one, and for each portion's row (portion, local, ids) which of its phrases these are."""
@@ -240,13 +268,15 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     now = stage(rows.mapInArrow(_occurrences, _FIRST))
     known = now.where("local is not null")
     totals = stage(known.groupBy("lang").agg(F.sum("n").alias("total")))
-    seen = known.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    most = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    counted = stage(_counted_words(known, least, most // PER_BUCKET + 1))
     none = F.array().cast("array<long>")
     word = F.col("word")
-    first = seen.select("lang", word.alias("phrase"), word.alias("last"), "f", none.alias("heads"), none.alias("tails"))
-    levels = [stage(first.withColumn("id", F.monotonically_increasing_id()))]
-    ids = levels[0].select("lang", F.col("phrase").alias("word"), F.col("id").alias("ids"))
-    found = known.join(ids.hint("merge"), ["lang", "word"]).select("portion", "local", "ids")
+    first = counted.where("id is not null").select(
+        "id", "lang", word.alias("phrase"), word.alias("last"), "f", none.alias("heads"), none.alias("tails")
+    )
+    levels = [first]
+    found = counted.where("portion is not null").select("portion", "local", "ids")
     for length in range(2, longest + 1):
         most = levels[-1].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         relations = now.where("relation is not null").select(F.col("portion").alias("place"), "relation")

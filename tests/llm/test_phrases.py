@@ -121,3 +121,26 @@ def test_empty_and_levels(spark):
     totals, levels = frequent_phrases(spark.createDataFrame([(1, "a b a b", "x", "", 0, 0)], SCHEMA), 2, 3)
     assert [tuple(r) for r in totals.collect()] == [("x", 4)]
     assert [{(r["phrase"], r["f"]) for r in x.collect()} for x in levels] == [{("a", 2), ("b", 2)}, {("a b", 2)}, set()]
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_frequent_words_go_back_to_their_portions_without_a_join(spark, buckets):
+    rng = random.Random(4)
+    rows = [(p, lang, w, i, rng.randrange(1, 9)) for p in range(6) for lang in ("a", "b") for i, w in enumerate(rng.sample("qrstuvwxyz", 5), 5 * (lang == "b"))]
+    known = spark.createDataFrame(rows, "portion long, lang string, word string, local int, n long")
+    total = Counter()
+    for _, lang, w, _, n in rows:
+        total[lang, w] += n
+    often = {k: f for k, f in total.items() if f >= 12}
+    counted = phrases._counted_words(known, 12, buckets)
+    got = counted.collect()
+    words = {r["id"]: (r["lang"], r["word"]) for r in got if r["id"] is not None}
+    assert {words[r["id"]]: r["f"] for r in got if r["id"] is not None} == often and len(words) == len(often) > 0
+    back = [
+        (r["portion"], *words[i], x)
+        for r in got if r["portion"] is not None
+        for x, i in zip(phrases.expand(r["local"], "u4").tolist(), phrases.expand(r["ids"], "i8").tolist(), strict=True)
+    ]
+    assert sorted(back) == sorted((p, lang, w, i) for p, lang, w, i, _ in rows if (lang, w) in often)
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and len(rows) > len(back)
