@@ -232,6 +232,7 @@ PDC_COLUMNS = [f"pro_days_{v}" for v in _codes]
 
 
 def modelling(t, c):
+    c = c.staged("prod", "fcc", "atc", "mol1", "units", "pack_size", "shortcode")
     out = model_table(c.cohort_rows, t, ADD_ON, SETTINGS)
     return rounded(out, [*SHARES, *PDC_COLUMNS, "pro_days_all", "days_supply_on_index"])
 
