@@ -126,3 +126,15 @@ def test_stages_are_deleted_on_release(spark):
 @pytest.mark.parametrize("key", ["pre_index_window", "semi_join"])
 def test_claims_are_joined_once_for_rows_and_index_dates(spark, key):
     assert not any("lineitem" in f for f in queries()[key](spark, FOLDER).inputFiles())
+
+
+@pytest.mark.parametrize("key", ["patient_mart", "model_table"])
+def test_lines_are_read_once(spark, monkeypatch, key):
+    from dosewise import sources
+    from dosewise.plans import cohort, model_table, patient_mart
+
+    plans = []
+    for module in (cohort, model_table, patient_mart):
+        monkeypatch.setattr(module, "persist_stage", lambda df: plans.append(plan(df)) or sources.persist_stage(df))
+    plans.append(plan(queries()[key](spark, FOLDER)))
+    assert sum(text.count("/lineitem.parquet]") for text in plans) == 1
