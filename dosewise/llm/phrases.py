@@ -25,13 +25,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosewise.llm.arrow import portions
-from dosewise.llm.words import SECOND_BASE, _class, mix, words
+from dosewise.llm.words import SECOND_BASE, Words, _class, mix, words
 from dosewise.session import stage
 
 #: Language of documents without one.
@@ -70,33 +71,40 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(w.hash):
             continue
         langs = part.column("lang").dictionary_encode()
-        names, lang_of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-        ended = np.concatenate([[0], np.cumsum(~_INSIDE[w.data])])
-        last = np.ones(len(w.hash), bool)
-        last[:-1] = ended[w.begin[1:]] > ended[w.end[:-1]]
-        last[w.first[1:][w.first[1:] > 0] - 1] = True
+        lang_of = langs.indices.to_numpy()
+        last = _lasts(w)
         lang = np.repeat(lang_of, np.diff(w.first))
         key = mix(w.hash + (lang.astype(np.uint64) + np.uint64(1)) * np.uint64(SECOND_BASE))
         stops = np.flatnonzero(last) + 1
         cuts = [0, *stops[np.flatnonzero(np.diff(stops // WORDS)) + 1].tolist(), len(key)]
-        data = w.data.tobytes()
+        data = memoryview(w.data)
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
                 continue
             _, at, local, n = np.unique(key[a:b], return_index=True, return_inverse=True, return_counts=True)
             at += a
-            text = [data[x:y].lower().decode() for x, y in zip(w.begin[at].tolist(), w.end[at].tolist(), strict=True)]
+            text = [str(data[x:y], "utf-8") for x, y in zip(w.begin[at].tolist(), w.end[at].tolist(), strict=True)]
             relation = _runs(local.astype(np.uint32), last[a:b])
-            yield _batch(portion, squeeze(relation), [names[i] for i in lang[at].tolist()], text, np.arange(len(at), dtype=np.int32), n)
+            yield _batch(portion, squeeze(relation), langs.dictionary.take(pa.array(lang[at])), pc.ascii_lower(pa.array(text, pa.string())), n)
             portion += 1
 
 
-def _batch(portion: int, relation: bytes | None, lang: list[str], word: list[str], local: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    none = [None]
+def _lasts(w: Words) -> np.ndarray:
+    """Whether a word is the last of its piece: an end of pieces or of the text comes before the next word."""
+    ends = np.concatenate([np.flatnonzero(~_INSIDE[w.data]), [len(w.data)]])
+    last = np.ones(len(w.hash), bool)
+    last[:-1] = ends[np.searchsorted(ends, w.end[:-1])] < w.begin[1:]
+    last[w.first[1:][w.first[1:] > 0] - 1] = True
+    return last
+
+
+def _batch(portion: int, relation: bytes, lang: pa.Array, word: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """A row with the relation, and one for each word of the dictionary."""
+    after = lambda x: pa.concat_arrays([pa.nulls(1, x.type), x])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(len(n) + 1, portion)), pa.array([relation, *none * len(n)], pa.binary()), pa.array([None, *lang], pa.string()),
-            pa.array([None, *word], pa.string()), pa.array([None, *local.tolist()], pa.int32()), pa.array([None, *n.tolist()], pa.int64()),
+            pa.array(np.full(len(n) + 1, portion)), pa.concat_arrays([pa.array([relation], pa.binary()), pa.nulls(len(n), pa.binary())]),
+            after(lang), after(word), after(pa.array(np.arange(len(n), dtype=np.int32))), after(pa.array(n, pa.int64())),
         ],
         ["portion", "relation", "lang", "word", "local", "n"],
     )

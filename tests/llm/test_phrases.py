@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,3 +147,19 @@ def test_frequent_words_go_back_to_their_portions_without_a_join(spark, buckets)
     assert sorted(back) == sorted((p, lang, w, i) for p, lang, w, i, _ in rows if (lang, w) in often)
     text = counted._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and len(rows) > len(back)
+
+
+def test_occurrences_take_little_memory_beside_their_texts(monkeypatch):
+    """No array as long as the text in 64-bit numbers is made."""
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = "some words, again. " * 200
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 1000, "text": [text] * 1000})
+    list(phrases._occurrences([batch]))  # tables of the hashes are made once
+    tracemalloc.start()
+    try:
+        rows = list(phrases._occurrences([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(rows) == 1 and rows[0].num_rows == 4
+    assert peak < 18 * len(text) * 1000
