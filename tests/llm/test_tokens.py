@@ -176,3 +176,21 @@ def test_pieces_encoded_together_have_their_own_ids(texts):
     want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):
         assert [x.tolist() for x in encoder.encode(texts)] == want
+
+
+def test_a_piece_is_looked_up_once_a_portion(monkeypatch):
+    """Distinct pieces of all texts of a portion are looked up, not each occurrence."""
+    asked = []
+    find = id_files.Kept.find
+    monkeypatch.setattr(id_files.Kept, "find", lambda self, names: asked.append(len(names)) or find(self, names))
+    texts = ["the same words again", "the same words  again", "the same words again"] * 50
+    got = id_files.PieceEncoder(PATH).encode(texts)
+    assert sum(asked) <= 20
+    assert [x.tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_documents_are_packed_together_as_alone():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 1 << 18, n, dtype=np.uint32) for n in (0, 5, 1, 0, 4, 300)]
+    control, data = id_files.pack_rows(np.concatenate(docs), np.array([len(x) for x in docs]))
+    assert list(zip(control.to_pylist(), data.to_pylist(), strict=True)) == [pack(x) for x in docs]
