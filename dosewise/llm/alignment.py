@@ -19,22 +19,25 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.llm.arrow import portions
 from dosewise.llm.token_counts import WHITE
-from dosewise.llm.words import ranges
+from dosewise.llm.words import ranges, text_buffer
 from dosewise.session import stage
 
 #: Distinct pieces that a Python worker keeps, and characters of a text aligned at once.
 KEPT_PIECES, SLICE = 150_000, 1 << 20
+#: Pieces that are encoded in one text.
+JOINED = 20_000
 #: A pair with at least one in so many of all links is looked up in a table in
 #: memory: there are at most so many. The others are joined.
 HEAVY = 1 << 20
@@ -117,6 +120,9 @@ class Aligner:
         # where two pieces have the same bytes, the one that is no byte piece
         same = {x: i for by_byte in (True, False) for i, x in enumerate(self.bytes_b) if x and self.b.is_byte(i) == by_byte}
         self.identity = np.array([same.get(x, -1) for x in self.bytes_a], np.int64)
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
+        # each id of A followed by , or |, each of B by , or ;
+        self.names = [f"{i}{c}" for ids, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(ids)) for c in ends]
         self._clear()
 
     def _clear(self) -> None:
@@ -129,17 +135,14 @@ class Aligner:
 
     def _add(self, new: list[str]) -> None:
         """Tokenise and align pieces that are not kept."""
-        whole = [f" {p}" for p in new]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        ids_b = [x if p else [self.blank] for p, x in zip(new, self.b.encode(new, num_threads=1), strict=True)]
-        good = np.array([
-            b"".join(map(self.bytes_a.__getitem__, x)) == (p := w.encode()) and b"".join(map(self.bytes_b.__getitem__, y)) == p
-            for w, x, y in zip(whole, ids_a, ids_b, strict=True)
-        ], bool)
+        data, starts = text_buffer(pc.binary_join_element_wise("", pa.array(new, pa.string()), " "))
+        a, n_a = self._tokens_a(new, starts)
+        b, n_b = self._tokens_b(new)
+        good = _same_bytes(a, n_a, self.flat_a, self.length_a, data, starts)
+        good &= _same_bytes(b, n_b, self.flat_b, self.length_b, data, starts)
         if not good.all():
-            ids_a, ids_b = ([x if g else [] for x, g in zip(y, good, strict=True)] for y in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(y), np.int64) for y in (ids_a, ids_b))
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         ends = np.union1d(end_a, end_b)  # a link ends at each, and there is no other
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
@@ -149,14 +152,18 @@ class Aligner:
         exact = single & (self.identity[a[at_a]] == b[at_b])
         count = lambda of: np.bincount(of, minlength=len(new))
         sizes = np.stack([n_a, n_b, count(piece[last]), count(piece)], axis=1)
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        to_a, to_b = (at_a[last] + 1).tolist(), (at_b[last] + 1).tolist()
-        texts, i, j = [], 0, 0
-        for x, y in zip(to_a, to_b, strict=True):
-            texts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
-            i, j = x, y
-        upto = np.cumsum(sizes[:, 2]).tolist()
-        self.groups += [";".join(texts[x:y]) for x, y in zip([0, *upto], upto, strict=False)]
+        # the groups as text: an id and what stands after it, ids of A before those of B
+        to_a, to_b = at_a[last] + 1, at_b[last] + 1
+        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after_a[to_a - 1], after_b[to_b - 1] = 1, 1
+        group_a, group_b = np.cumsum(after_a) - after_a, np.cumsum(after_b) - after_b
+        place = np.empty(len(a) + len(b), np.int64)
+        token = np.concatenate([a * 2 + after_a, (len(self.bytes_a) + b) * 2 + after_b])
+        place[np.arange(len(a)) + np.concatenate([[0], to_b])[group_a]] = token[: len(a)]
+        place[np.arange(len(b)) + to_a[group_b]] = token[len(a) :]
+        texts = list(map(self.names.__getitem__, place.tolist()))
+        many = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        self.groups += ["".join(texts[x:y])[:-1] for x, y in zip(many, many[1:], strict=False)]
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.good = np.concatenate([self.good, good])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -165,6 +172,34 @@ class Aligner:
         self.pairs_end = np.concatenate([self.pairs_end, len(self.pairs) + np.cumsum(count(piece[~exact]))])
         self.pairs = np.concatenate([self.pairs, a[at_a[~exact]] * self.width + b[at_b[~exact]]])
 
+    def _tokens_a(self, new: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A of all pieces, and how many each has. Pieces that a blank and then no
+        white space starts and ends are encoded many in a text, told apart by the tokens' bytes."""
+        among = np.array([p != "" and not (p[0].isspace() or p[-1].isspace()) for p in new], bool)
+        inner = [f" {p}" for p in compress(new, among)]
+        joined, _ = self._of_a(["".join(inner[i : i + JOINED]) for i in range(0, len(inner), JOINED)])
+        ends, upto = np.cumsum(np.diff(starts)[among]), np.cumsum(self.length_a[joined])
+        at = np.searchsorted(upto, ends)
+        if inner and (at[-1] != len(upto) - 1 or (upto[at] != ends).any()):
+            return self._of_a([f" {p}" for p in new])
+        rest, many = self._of_a([f" {p}" for p in compress(new, ~among)])
+        sizes = np.zeros(len(new), np.int64)
+        sizes[among], sizes[~among] = np.diff(at, prepend=-1), many
+        ids = np.empty(int(sizes.sum()), np.int64)
+        own = np.repeat(among, sizes)
+        ids[own], ids[~own] = joined, rest
+        return ids, sizes
+
+    def _of_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int64), *coded]), np.array([len(x) for x in coded], np.int64)
+
+    def _tokens_b(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of B of all pieces, and how many each has."""
+        coded = [x if p else [self.blank] for p, x in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        sizes = np.array(list(map(len, coded)), np.int64)
+        return np.array(list(chain.from_iterable(coded)), np.int64), sizes
+
     def profiles(self, texts: list[str]) -> list[Profile | None]:
         """The profile of each text, None where the bytes of the tokens are not those of the text."""
         pieces = [cut(t) for t in texts]
@@ -193,6 +228,18 @@ class Aligner:
         ]
 
 
+def _same_bytes(ids: np.ndarray, n: np.ndarray, flat: np.ndarray, length: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the tokens of each piece, n of all ids, are those of the piece."""
+    upto = np.concatenate([[0], np.cumsum(length[ids])])[np.concatenate([[0], np.cumsum(n)])]
+    good = np.diff(upto) == np.diff(starts)
+    own = np.repeat(good, n)
+    joined = flat[ranges((np.cumsum(length) - length)[ids[own]], length[ids[own]])]
+    whole = np.repeat(good, np.diff(starts))
+    wrong = joined != data[whole]
+    good[np.repeat(np.arange(len(n)), np.diff(starts))[whole][wrong]] = False
+    return good
+
+
 def _totals(
     own: np.ndarray, piece: np.ndarray, n: np.ndarray, values: np.ndarray, end: np.ndarray, limit: int, texts: int
 ) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -129,3 +129,21 @@ def test_registered_query(spark):
     df = QUERIES["op13_alignment"](spark, SF)
     assert df.columns == COLUMNS and {t for c, t in df.dtypes if c != "groups_sha256"} == {"bigint"}
     assert rows_of(df) == sorted(((d["doc_id"], *w) for d, w in zip(docs, want, strict=True)), key=repr)
+
+
+def test_new_pieces_are_tokenised_together():
+    """A takes new pieces joined to long texts, not each as a text of its own."""
+    fresh = alignment.Aligner(A, B)
+    library, asked = fresh.a, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    fresh.a = Counting()
+    texts = [" ".join(f"word{i} e{i}n, x\ny{i}" for i in range(300)), *(t for t in HAND if t)]
+    for t, p in zip(texts, fresh.profiles(texts), strict=True):
+        assert (p is None) == (walked(t) is None)
+        assert p is None or ";".join(p.groups) == walked(t)[4]
+    assert sum(asked) < 60
