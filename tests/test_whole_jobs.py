@@ -89,3 +89,18 @@ def test_distinct_claims_are_those_of_repeated_tables(tables):
 def test_a_forest_takes_few_fits():
     """A fit has its own jobs for each level and for its nodes, however few trees it has."""
     assert model.part_sizes(800) == [100] * 8 and sum(model.part_sizes(1550)) == 1550
+
+
+def test_forests_are_fitted_on_few_partitions(spark, monkeypatch):
+    """Every partition of a fit hands on the sums of all nodes, so few rows are few partitions."""
+    rows = spark.createDataFrame([(i, int(i % 7 > 2), float(i % 7), float(i % 5)) for i in range(280)], "id int, response int, a double, b double").repartition(8)
+    parts = []
+    real = model.fit_forest
+    monkeypatch.setattr(model, "fit_forest", lambda rows, *args, **kw: parts.append(rows.rdd.getNumPartitions()) or real(rows, *args, **kw))
+    trees, _ = model.fit_forest_parts(model.with_vector(rows, ["a", "b"]), 4, 1, 5, 2, depth=4)
+    grid = [{"ntree": 4, "mtry": 1, "nodesize": 5}]
+    model.rf_grid_search(split.stratified_split(rows, [1], 0.5, 0.25), ["a", "b"], grid, depth=4)
+    assert parts == [1, 1, 1] and len(trees.root) == 4
+    monkeypatch.setattr(model, "FIT_ROWS", 100)
+    spread = model.fit_rows(model.with_vector(rows, ["a", "b"]))
+    assert 1 < spread.rdd.getNumPartitions() <= 3 and spread.count() == 280
