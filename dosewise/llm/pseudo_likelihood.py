@@ -39,6 +39,10 @@ KNOWN = 1 << 18
 BLOCK = 1 << 12
 #: Words of a training step and its size.
 STEP, RATE = 8192, 0.05
+#: Words whose output is worked off at once.
+ROWS = 1024
+#: Values whose exponentials, and sums of them, are floats of full precision.
+SAFE = 70.0
 SEED = 3
 
 #: Ids of the smallest net; the id beside the ends of a text comes after them.
@@ -91,59 +95,100 @@ def contexts(ids: np.ndarray, first: np.ndarray, edge: int = EDGE) -> np.ndarray
     return np.stack(columns, axis=1) if len(ids) else np.zeros((0, 2 * WIDTH), np.int64)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray, safe: bool) -> tuple[np.ndarray | float, np.ndarray]:
+    """A number for each column, and the sum of the exponentials of what its values are
+    less; x holds these afterwards. The number is the largest value, or 0 if that is safe."""
+    most = 0.0 if safe else x.max(axis=0)
+    if not safe:
+        x -= most
+    np.exp(x, out=x)
+    return most, x.sum(axis=0)
 
 
 def _hidden(weights: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inputs = weights["embedding"][around].reshape(len(around), -1)
-    return inputs, np.tanh(inputs @ weights["hidden"] + weights["hidden_bias"])
+    """Inputs, a row a word, and the hidden layer, a column a word, with a last row of ones,
+    which the biases go with."""
+    inputs = weights["embedding"].take(around, axis=0).reshape(len(around), -1)
+    h = np.ones((HIDDEN + 1, len(around)), inputs.dtype)
+    np.tanh(weights["hidden"].T @ inputs.T + weights["hidden_bias"][:, None], out=h[:HIDDEN])
+    return inputs, h
+
+
+def _with_bias(weights: Weights) -> dict[str, tuple[np.ndarray, np.ndarray | bool]]:
+    """Weights and biases of both outputs in one, and whether no value of the output, whose
+    inputs lie between -1 and 1, has an exponential beyond what a float holds."""
+    out = {}
+    for name in ("group", "within"):
+        w = np.concatenate([weights[name], weights[f"{name}_bias"][..., None, :]], axis=-2)
+        out[name] = w, np.abs(w).sum(axis=-2).max(axis=-1) < SAFE
+    return out
+
+
+def _grouped(ids: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by the group of their ids, and where each group starts in it."""
+    group = (ids // side).astype(np.uint16)
+    return np.argsort(group, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(group, minlength=side))])
 
 
-def _by_group(ids: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
+def _outputs(weights: Weights, edges: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+    """The two outputs of words ordered by group in pieces: name and part of the output, its
+    weights, whether it is safe, the words, and the place of each in that output. Pieces
+    are small enough to stay in a cache."""
+    side, both = len(edges) - 1, _with_bias(weights)
+    w, safe = both["group"]
     group = ids // side
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(side + 1))
-    for g in range(side):
-        if edges[g + 1] > edges[g]:
-            yield g, order[edges[g] : edges[g + 1]]
+    for a in range(0, len(ids), ROWS):
+        yield "group", ..., w, safe, a, min(a + ROWS, len(ids)), group[a : a + ROWS]
+    w, safe = both["within"]
+    place = ids - group * side
+    for g in np.flatnonzero(np.diff(edges)).tolist():
+        for a in range(edges[g], edges[g + 1], ROWS):
+            b = min(a + ROWS, edges[g + 1])
+            yield "within", g, w[g], safe[g], a, b, place[a:b]
 
 
 def log_probabilities(weights: Weights, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log P(id | ids around it) of each word."""
-    out, side = np.zeros(len(ids)), len(weights["group_bias"])
+    out, side, every = np.zeros(len(ids)), len(weights["group_bias"]), np.arange(ROWS)
     for a in range(0, len(ids), 1 << 16):
-        own = ids[a : a + (1 << 16)]
-        _, h = _hidden(weights, around[a : a + (1 << 16)])
-        p = _log_softmax(h @ weights["group"] + weights["group_bias"])[np.arange(len(own)), own // side]
-        for g, rows in _by_group(own, side):
-            inner = _log_softmax(h[rows] @ weights["within"][g] + weights["within_bias"][g])
-            p[rows] += inner[np.arange(len(rows)), own[rows] % side]
-        out[a : a + (1 << 16)] = p
+        order, edges = _grouped(ids[a : a + (1 << 16)], side)
+        order += a
+        own, p = ids[order], np.zeros(len(order))
+        _, h = _hidden(weights, around[order])
+        for _, _, w, safe, b, e, at in _outputs(weights, edges, own):
+            x = w.T @ h[:, b:e]
+            p[b:e] += x[at, every[: e - b]]
+            most, total = _exponentials(x, safe)
+            p[b:e] -= most + np.log(total)
+        out[order] = p
     return out
 
 
 def gradients(weights: Weights, ids: np.ndarray, around: np.ndarray) -> Weights:
     """Gradient of the mean log-probability."""
-    n, side = np.float32(len(ids)), len(weights["group_bias"])
+    n, side, every = np.float32(len(ids)), len(weights["group_bias"]), np.arange(ROWS)
+    order, edges = _grouped(ids, side)
+    ids, around = ids[order], around[order]
     inputs, h = _hidden(weights, around)
-    out = {k: np.zeros_like(v) for k, v in weights.items()}
-    error = -np.exp(_log_softmax(h @ weights["group"] + weights["group_bias"]))
-    error[np.arange(len(ids)), ids // side] += 1
-    out["group"], out["group_bias"] = h.T @ error / n, error.sum(axis=0) / n
-    to_hidden = error @ weights["group"].T
-    for g, rows in _by_group(ids, side):
-        error = -np.exp(_log_softmax(h[rows] @ weights["within"][g] + weights["within_bias"][g]))
-        error[np.arange(len(rows)), ids[rows] % side] += 1
-        out["within"][g], out["within_bias"][g] = h[rows].T @ error / n, error.sum(axis=0) / n
-        to_hidden[rows] += error @ weights["within"][g].T
+    out = {"embedding": np.zeros_like(weights["embedding"])}
+    to_hidden = np.zeros_like(h)
+    sums = {"group": np.zeros((HIDDEN + 1, side), h.dtype), "within": np.zeros((side, HIDDEN + 1, side), h.dtype)}
+    for name, part, w, safe, b, e, at in _outputs(weights, edges, ids):
+        error = w.T @ h[:, b:e]
+        _, total = _exponentials(error, safe)
+        error *= -1 / total
+        error[at, every[: e - b]] += 1
+        sums[name][part] += h[:, b:e] @ error.T
+        to_hidden[:, b:e] += w @ error
+    for name, total in sums.items():
+        total /= n
+        out[name], out[f"{name}_bias"] = total[..., :HIDDEN, :], total[..., HIDDEN, :]
+    h, to_hidden = h[:HIDDEN], to_hidden[:HIDDEN] / n
     to_hidden *= 1 - h * h
-    out["hidden"], out["hidden_bias"] = inputs.T @ to_hidden / n, to_hidden.sum(axis=0) / n
-    to_inputs = (to_hidden @ weights["hidden"].T).reshape(-1, EMBEDDING) / n
-    spots = around.reshape(-1)
+    out["hidden"], out["hidden_bias"] = (to_hidden @ inputs).T, to_hidden.sum(axis=1)
+    to_inputs, spots = weights["hidden"] @ to_hidden, around.T.ravel()
     for i in range(EMBEDDING):
-        out["embedding"][:, i] = np.bincount(spots, weights=to_inputs[:, i], minlength=side * side + 1)
+        out["embedding"][:, i] = np.bincount(spots, weights=to_inputs[i::EMBEDDING].ravel(), minlength=side * side + 1)
     return out
 
 
@@ -159,7 +204,10 @@ class Trainer:
         for a in range(0, len(ids), STEP):
             for k, g in gradients(self.weights, ids[a : a + STEP], around[a : a + STEP]).items():
                 self.squares[k] += g * g
-                self.weights[k] += np.float32(RATE) * g / np.sqrt(self.squares[k])
+                step = np.sqrt(self.squares[k])
+                np.divide(g, step, out=step)
+                step *= np.float32(RATE)
+                self.weights[k] += step
         self.seen += len(ids)
 
 

@@ -185,3 +185,20 @@ def test_probabilities_of_all_words_sum_to_one(spark, monkeypatch, known):
 
 def test_ids_grow_with_the_corpus():
     assert pseudo_likelihood.side_of(10**6) == 32 < pseudo_likelihood.side_of(10**8) < pseudo_likelihood.side_of(10**10)
+
+
+def test_a_word_takes_one_exponential_an_output(monkeypatch):
+    """Training works each output out once, in pieces that do not grow with the step."""
+    rng = np.random.default_rng(1)
+    weights, n, side = pseudo_likelihood.initial(), 3000, pseudo_likelihood.SIDE
+    ids, around = rng.integers(0, pseudo_likelihood.IDS, n) ** 2 // pseudo_likelihood.IDS, rng.integers(0, pseudo_likelihood.IDS + 1, (n, 4))
+    whole, each = pseudo_likelihood.gradients(weights, ids, around), pseudo_likelihood.log_probabilities(weights, ids, around)
+    sizes, real = [], np.exp
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "exp", lambda x, *args, **kw: sizes.append(np.size(x)) or real(x, *args, **kw))
+        pseudo_likelihood.gradients(weights, ids, around)
+    assert sum(sizes) == n * 2 * side and max(sizes) < n * side
+    monkeypatch.setattr(pseudo_likelihood, "ROWS", 7)
+    for name, g in pseudo_likelihood.gradients(weights, ids, around).items():
+        assert g == pytest.approx(whole[name], abs=1e-6)
+    assert pseudo_likelihood.log_probabilities(weights, ids, around) == pytest.approx(each, abs=1e-5)
