@@ -40,20 +40,26 @@ def bucketed(counts: DataFrame, value: str, keys: Sequence[str], per_bucket: int
         level = [*keys, *names]
         sketch = F.percentile_approx(value, probs, max(ACCURACY, ways)).alias("_cuts")
         name = f"_b{len(names)}"
-        place = F.size(F.filter("_cuts", lambda e: e < F.col(value)))
         if level:
             cuts = stage(counts.groupBy(*level).agg(sketch))
             same = [counts[k].eqNullSafe(cuts[k]) for k in level]
             met = counts.join(cuts, _all(same))
-            counts = met.select(*[counts[c] for c in counts.columns], place.alias(name))
+            counts = met.select(*[counts[c] for c in counts.columns], _place(F.col("_cuts"), F.col(value), ways).alias(name))
         else:
             points = counts.agg(sketch).first()["_cuts"] or []
-            counts = counts.withColumn(name, F.size(F.filter(F.lit(points), lambda e: e < F.col(value))))
+            counts = counts.withColumn(name, _place(F.lit(points), F.col(value), ways) if points else F.lit(0))
         names.append(name)
         left /= ways
     return counts, names
 
 
+def _place(cuts: Column, value: Column, ways: int) -> Column:
+    """How many of the sorted cuts, fewer than ways, are below the value: by halves, as a
+    row would else be compared with each of them."""
+    steps = F.lit([1 << i for i in reversed(range((ways - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0))
+
+
 def _all(conditions: Sequence[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -178,8 +178,8 @@ def column_types(rows: DataFrame) -> dict[str, str]:
 def typed_counts(rows: DataFrame, types: Mapping[str, str], sentinels: Sequence[str] = SENTINELS) -> DataFrame:
     """(variable, kind, key, x, n): the value counts of columns of any type.
 
-    Texts are told apart by their SHA-256 (key), numbers and dates by x, dates as
-    days since 1970. A text column listed as number or date is read as one; what
+    Texts are told apart by key, which is a text of less than 64 bytes itself and the
+    SHA-256 of a longer one, numbers and dates by x, dates as days since 1970. A text column listed as number or date is read as one; what
     can't be read has no x but counts as a value.
     """
     def cell(c: str) -> Column:
@@ -191,7 +191,8 @@ def typed_counts(rows: DataFrame, types: Mapping[str, str], sentinels: Sequence[
             "number": lambda: parse_number(v) if own else v.cast("double"),
             "date": lambda: day_number(parse_stamp_text(v) if own else v.cast("date")),
         }[types[c]]()
-        key = F.sha2(text, 256) if own or types[c] == "text" else F.lit(None).cast("string")
+        short = F.when(F.octet_length(text) < 64, text).otherwise(F.sha2(text, 256))
+        key = short if own or types[c] == "text" else F.lit(None).cast("string")
         return F.struct(kind.alias("kind"), key.alias("key"), F.when(kind == "value", x).alias("x")).alias(c)
 
     long = rows.select(*[cell(c) for c in types]).unpivot([], list(types), "variable", "cell")

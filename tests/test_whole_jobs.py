@@ -3,10 +3,12 @@
 import numpy as np
 import pytest
 from check import compare, connect
+from pyspark.sql import functions as F
 
 from dosewise.bindings import ORACLES, QUERIES
 from dosewise.bindings.adherence_queries import SETTINGS, pdc_rows
-from dosewise.operators import aggregate, forest, model, split
+from dosewise.functions import ranks
+from dosewise.operators import aggregate, forest, model, profiles, split
 from dosewise.plans.cohort import Cohort
 from dosewise.plans.pdc import build_pdc
 from dosewise.sources.claims import Tables
@@ -104,3 +106,23 @@ def test_forests_are_fitted_on_few_partitions(spark, monkeypatch):
     monkeypatch.setattr(model, "FIT_ROWS", 100)
     spread = model.fit_rows(model.with_vector(rows, ["a", "b"]))
     assert 1 < spread.rdd.getNumPartitions() <= 3 and spread.count() == 280
+
+
+@pytest.mark.parametrize("ways", [2, 3, 16, 256])
+def test_values_find_their_bucket_by_halves(spark, ways):
+    """A value is not compared with every cut; the bucket is the number of cuts below it all the same."""
+    rows = spark.range(-5, 320).selectExpr("id % 2 as g", "id / 2d as v", "1 as n").union(spark.sql("select 0L, double('nan'), 1"))
+    cut, (name,) = ranks.bucketed(rows, "v", ["g"], per_bucket=200, ways=ways)
+    assert "filter(" not in cut._jdf.queryExecution().optimizedPlan().toString().lower().replace("filter (", "")
+    sketch = F.percentile_approx("v", [i / ways for i in range(1, ways)], max(ranks.ACCURACY, ways)).alias("c")
+    counted = rows.join(rows.groupBy("g").agg(sketch), "g").select("g", "v", F.size(F.filter("c", lambda e: e < F.col("v"))).alias("b"))
+    assert cut.select("g", "v", name).exceptAll(counted).isEmpty() and cut.count() == 326
+
+
+def test_short_texts_are_counted_as_they_are(spark):
+    """A key is a text of less than 64 bytes or a hash, and no text is taken for the hash of another."""
+    long = "x" * 100
+    digest = spark.range(1).select(F.sha2(F.lit(long), 256)).first()[0]
+    rows = spark.createDataFrame([(t,) for t in ("a", "a", "b ", long, long, digest, None)], "t string")
+    keys = {r["key"]: r["n"] for r in profiles.typed_counts(rows, {"t": "text"}).collect()}
+    assert keys["a"] == 2 and keys["b "] == keys[None] == 1 and keys[digest] == 2 and len(keys) == 5
